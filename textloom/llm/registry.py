@@ -6,19 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import decontam, exact, packing, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def tokenizer_files() -> tuple[str, str | None]:
+    """The public tokenizer that the packing query names, and the same vocabulary as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 UP, LOW = exact.UPPER, exact.LOWER
 
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWERED = f"translate(coalesce(text, ''), '{UP}', '{LOW}')"
+WORDS = f"list_filter(regexp_split_to_array({LOWERED}, '{NOT_WORD}'), lambda w: w <> '')"
+
 ORACLE = {
+    "op3_decontamination": f"""
+        WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
+             bw AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+             bi AS (SELECT item, w, len(w) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0),
+             win AS (SELECT DISTINCT item, least(n, 10) AS k, array_to_string(w[i : i + least(n, 10) - 1], ' ') AS s FROM bi),
+             sizes AS (SELECT DISTINCT k FROM win),
+             dp AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, sizes WHERE len(w) >= k),
+             hit AS (SELECT doc_id, i, dp.k, item FROM dp JOIN win ON dp.k = win.k AND array_to_string(dp.w[i : i + dp.k - 1], ' ') = win.s),
+             words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+             items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UP}', '{LOW}')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
