@@ -50,7 +50,8 @@ class DigestIndex:
 
     def absorb(self, digests: DataFrame) -> None:
         """Appends the digests (doc_id, digest) that the index doesn't have; a digest's largest doc_id is kept."""
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # written first: else Catalyst moves the anti-join below the grouping, and a hot digest's rows meet in one task
+        groups = materialize(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
         fresh = groups.join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
         fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
 
