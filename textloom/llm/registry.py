@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, packing, pii, simhash, toxicity
+from . import decontam, exact, licenses, linededup, packing, pii, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_files() -> tuple[str, str | None]:
     """The public tokenizer that the packing query names, and the same vocabulary as ranks."""
     import public_tokenizers
@@ -39,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,18 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWERED = f"translate(coalesce(text, ''), '{UP}', '{LOW}')"
 WORDS = f"list_filter(regexp_split_to_array({LOWERED}, '{NOT_WORD}'), lambda w: w <> '')"
 
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE = {
+    "op5_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+             l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+             k AS (SELECT doc_id, i, line, translate(trim(line, {BLANKS}), '{UP}', '{LOW}') AS key FROM l),
+             often AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+             j AS (SELECT doc_id, i, line, largest IS NOT NULL AND largest <> doc_id AS gone FROM k LEFT JOIN often USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id""",
     "op3_decontamination": f"""
         WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
              bw AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
