@@ -173,3 +173,11 @@ def brute(text: str | None, items: list[tuple[int, str | None]]) -> tuple[int, i
                     hit |= set(range(i, i + len(window)))
                     found.add(str(item))
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of docs in which no benchmark window occurs, all columns."""
+    numbered = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in numbered.items()), F.col("text").alias("text"))
+    found = scan(plain, benchmark, keep=tuple(numbered.values()), max_bytes=max_bytes)
+    return found.where(F.size("hits") == 0).select(*(F.col(n).alias(c) for c, n in numbered.items()))

@@ -76,11 +76,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact dedup keeps, all columns."""
+    """The rows of docs that exact dedup keeps, one of each text even where a doc_id repeats, all columns."""
     spark = docs.sparkSession
     index = DigestIndex(spark, buckets=buckets_for(spark))
     digests = materialize(docs.select("doc_id", digest(F.col("text")).alias("digest")), "batch")
     index.absorb(digests)
-    keep = index.files().select(F.col("digest").alias("_keep_digest"), F.col("keep_id").alias("_keep_id"))
-    on = (digest(docs["text"]) == keep["_keep_digest"]) & docs["doc_id"].eqNullSafe(keep["_keep_id"])
-    return docs.join(keep, on, "left_semi")
+    lowest = F.lit(-(1 << 63))
+    keep = index.files().select(F.col("digest").alias("_digest"), F.coalesce("keep_id", lowest).alias("_id"))
+    own = docs.withColumns({"_digest": digest(F.col("text")), "_id": F.coalesce(F.col("doc_id").cast("bigint"), lowest)})
+    # the join's partitioning serves the removal of repeated rows too
+    return own.join(keep.hint("merge"), ["_digest", "_id"], "left_semi").dropDuplicates(["_digest", "_id"]).select(*docs.columns)

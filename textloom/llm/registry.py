@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact, licenses, linededup, packing, pii, simhash, substring, toxicity
+from . import decontam, exact, licenses, linededup, packing, pii, simhash, substring, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))), "|")
+    return found.select("record_id", "url", "ts", "base_id", "status", listed.alias("headers"), F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256).alias("body_sha256"))
+
+
 UP, LOW = exact.UPPER, exact.LOWER
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,7 +70,25 @@ WORDS = f"list_filter(regexp_split_to_array({LOWERED}, '{NOT_WORD}'), lambda w:
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+TAG = "'\"' || md5(coalesce(html, '')) || '\"'"
+
 ORACLE = {
+    "op10_warc_revisits": f"""
+        WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+             h AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^(www|m)\\.', '') AS host,
+                          regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])((utm_[a-z]*|ref)=[^&]*(&|$))+', '\\1'), '[?&]$', '') AS rest FROM u),
+             p AS (SELECT page_id, html, host || regexp_replace(rest, '(\\.html|/)$', '') AS key, {TAG} AS tag FROM h),
+             r AS (SELECT key, page_id * 10 AS ts, page_id * 2 AS base_id, tag, html FROM p WHERE page_id % 13 <> 0),
+             v AS (SELECT key, page_id * 10 + 5 AS ts, page_id * 2 + 1 AS record_id,
+                          CASE WHEN page_id % 7 = 0 THEN '\"other\"' WHEN page_id % 11 = 0 THEN NULL ELSE tag END AS bare, page_id % 7 <> 0 AND page_id % 11 <> 0 AS weak FROM p),
+             j AS (SELECT v.*, r.base_id, r.tag, r.html FROM v ASOF LEFT JOIN r ON v.key = r.key AND v.ts > r.ts),
+             s AS (SELECT *, CASE WHEN base_id IS NULL THEN 'orphan' WHEN bare IS NULL THEN 'unverified' WHEN bare = tag THEN 'resolved' ELSE 'mismatch' END AS status,
+                          CASE WHEN weak THEN 'W/' || bare ELSE bare END AS told FROM j)
+        SELECT record_id, key AS url, ts, base_id, status,
+               CASE WHEN status IN ('orphan', 'mismatch') THEN 'content-type: text/plain|date: ' || ts || '|etag: ' || coalesce(told, '')
+                    ELSE 'content-type: text/html|date: ' || ts || '|etag: ' || coalesce(told, tag) END AS headers,
+               sha256(CASE WHEN status IN ('orphan', 'mismatch') THEN '' ELSE coalesce(html, '') END) AS body_sha256
+        FROM s""",
     "op5_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
              l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),

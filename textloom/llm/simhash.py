@@ -186,3 +186,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, bucket_limit: int = BUCKET_L
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text)."""
     prints = materialize(fingerprints(docs, size), "prints")
     return linked(prints, bucket_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """The rows of docs whose doc_id names their component, all columns."""
+    found = near_duplicates(docs, size, bucket_limit)
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
