@@ -1,8 +1,8 @@
 """Packing of tokenized documents into sequences by shortest-pack-first over the length histogram.
 
 Documents are cut into full sequences and one remainder. The histogram of piece lengths (at most `limit` entries)
-comes to the driver, where lengths are placed longest first, each into open patterns with the least space that still
-takes it; patterns carry counts, so the work there depends on the limit alone. Pieces then get a rank among those of
+comes to the driver, where lengths are placed longest first, each into the shortest open patterns, those with the most
+space; patterns carry counts, so the work there depends on the limit alone. Pieces then get a rank among those of
 their length and find the pattern, the sequence and the offset of that rank by a join with the patterns' intervals.
 
 Ranks are counted in two steps, so that no task holds all pieces of a length: pieces are dealt over hash buckets of
@@ -106,12 +106,13 @@ def pieces(docs: DataFrame, tokens_path: str, ranks_path: str | None, limit: int
 def patterns(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """Shortest-pack-first: (lengths of a pattern, number of sequences that have it).
 
-    Lengths come longest first. Those of a length go into the open patterns with the least space that takes them, as
-    many as there are; the rest open patterns of their own."""
+    Lengths come longest first. Each goes into the shortest of the open patterns, those with the most space, then the
+    next ones; a pattern that took it can take it again. What fits into none opens patterns with as many copies of it
+    as a sequence holds."""
     by_space: list[Counter] = [Counter() for _ in range(limit + 1)]
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        for space in range(length, limit):
+        for space in range(limit - 1, length - 1, -1):
             if not left:
                 break
             for pattern in sorted(by_space[space]):
@@ -123,8 +124,9 @@ def patterns(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[
                     del by_space[space][pattern]
                 by_space[space - length][(*pattern, length)] += n
                 left -= n
-        if left:
-            by_space[limit - length][(length,)] += left
+        for copies, n in ((limit // length, left // (limit // length)), (left % (limit // length), 1)):
+            if copies and n:
+                by_space[limit - copies * length][(length,) * copies] += n
     return sorted((p, n) for group in by_space for p, n in group.items())
 
 

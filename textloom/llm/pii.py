@@ -33,7 +33,7 @@ from .common import arrow_map, batch, strings
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 NUMBER = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -201,33 +201,31 @@ class SemiCRF:
                     self.ids.setdefault(x, len(self.ids))
         return [[self.ids[x] for x in f if x in self.ids] for _, _, f in cands]
 
-    def scores(self, cands: list[tuple[int, int, list[str]]]) -> np.ndarray:
-        return np.array([self.w[r].sum(0) for r in self.rows(cands)]).reshape(-1, len(TYPES))
+    def score(self, features: list[str]) -> np.ndarray:
+        """A segment's score for each type."""
+        return self.w[[self.ids[x] for x in features if x in self.ids]].sum(0)
 
     def decode(self, toks: list[Token]) -> list[Span]:
         """The best segmentation's entities, by token boundaries as text offsets."""
-        cands = candidates(toks)
-        if not cands:
-            return []
-        score = self.scores(cands)
-        best, kind = score.max(1), score.argmax(1)
-        ending: dict[int, list[int]] = {}
-        for c, (_, j, _) in enumerate(cands):
-            ending.setdefault(j, []).append(c)
-        value, back = [0.0] * (len(toks) + 1), [-1] * (len(toks) + 1)
+        anchors = [0]
+        for t, _, _ in toks:
+            anchors.append(anchors[-1] + anchored(t))
+        value, back = [0.0] * (len(toks) + 1), [(-1, -1)] * (len(toks) + 1)
         for j in range(1, len(toks) + 1):
             value[j] = value[j - 1]
-            for c in ending.get(j, ()):
-                v = value[cands[c][0]] + best[c]
-                if v > value[j]:
-                    value[j], back[j] = v, c
+            for i in range(max(0, j - MOST), j):
+                if anchors[j] > anchors[i] and (f := segment_features(toks, i, j)):
+                    score = self.score(f)
+                    kind = int(score.argmax())
+                    if (v := value[i] + score[kind]) > value[j]:
+                        value[j], back[j] = v, (i, kind)
         out, j = [], len(toks)
         while j > 0:
-            if back[j] < 0:
+            i, kind = back[j]
+            if i < 0:
                 j -= 1
             else:
-                i, e, _ = cands[back[j]]
-                out.append((TYPES[kind[back[j]]], toks[i][1], toks[e - 1][2]))
+                out.append((TYPES[kind], toks[i][1], toks[j - 1][2]))
                 j = i
         return out[::-1]
 
