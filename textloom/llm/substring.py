@@ -221,6 +221,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, broadcast_bytes: int
     # a window holds an anchor if the anchor starts at one of its first PERIOD words
     near = materialize(packed_ranges(found.join(repeated.select("h"), "h", "left_semi"), PERIOD - 1, 1), "near")
     full = materialize(full_windows(own.select("doc", "text"), near, window, broadcast_bytes), "windows")
-    gone = full.join(shared(full), "h").where("doc > least")
+    # written first, so that the join's sides are two exchanges, between which Spark splits a hot passage's rows
+    least = materialize(shared(full), "least")
+    gone = full.join(least, "h").where("doc > least")
     ranges = materialize(packed_ranges(gone, 0, window), "gone")
     return removed(own, ranges, kind, broadcast_bytes, text)
