@@ -12,7 +12,9 @@ from .fixed import JOSA
 
 #: Unicode White_Space, which SQL's trim and Java's \\s leave partly out.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WORD = r"[\p{L}\p{Nd}]+(?:['-][\p{L}\p{Nd}]+)*"
+#: An apostrophe or hyphen that is not inside a word.
+LOOSE = r"(?<![\p{L}\p{Nd}])['-]|['-](?![\p{L}\p{Nd}])"
+WORD = r"[\p{L}\p{Nd}'-]+"
 
 TONES = "่้๊๋"
 ABOVE = "ัิีึืํ็"
@@ -59,7 +61,7 @@ def reorder_vowels(text: Column) -> Column:
 
 def remove_repeats(text: Column) -> Column:
     """Vowels in canonical order, a repeated vowel or sign once, of a run of tones the last."""
-    text = sub(reorder_vowels(text), rf"([{ONCE}])(?: *\1)+", "$1")
+    text = sub(reorder_vowels(text), rf"([{ONCE}]) *(?=\1)")
     return sub(text, rf"[{TONES}]*([{TONES}])", "$1")
 
 
@@ -100,8 +102,10 @@ def script_count(text: Column, name: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, inner apostrophes and hyphens included."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """Runs of letters and digits, inner apostrophes and hyphens included.
+
+    A pattern that repeats a group would recurse in Java, once for each hyphen of a long chain; this one doesn't."""
+    return F.regexp_extract_all(sub(text, LOOSE, " "), F.lit(WORD), F.lit(0))
 
 
 def lower_words(text: Column) -> Column:

@@ -8,6 +8,7 @@ import statistics
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 
@@ -18,8 +19,7 @@ SENTENCE_END = re.compile(r"[.!?…\n\r๚๛。！？]")
 PUNCTUATION = re.compile(r"[^\w\s]|_")
 
 
-@dataclass(frozen=True)
-class Word:
+class Word(NamedTuple):
     text: str
     key: str
     at: int
@@ -62,8 +62,9 @@ class FrontEnd:
             if a < last:
                 continue
             gap, token = text[last:a], text[a:b]
-            sentence += bool(out) and bool(SENTENCE_END.search(gap))
-            breaks = not out or bool(PUNCTUATION.search(gap)) or bool(SENTENCE_END.search(gap))
+            ends = gap != " " and bool(SENTENCE_END.search(gap))
+            sentence += bool(out) and ends
+            breaks = not out or ends or gap != " " and bool(PUNCTUATION.search(gap))
             out.append(Word(token, fold(token), len(out), a, b, sentence, self.is_content(token), breaks))
             last = b
         return text, out
@@ -125,14 +126,11 @@ def text_rank(front: FrontEnd, text: str, k: int, window: int = 4, damping: floa
         return best(dict.fromkeys(names, 1.0), k)
     number = {t: i for i, t in enumerate(names)}
     ids = np.array([number[t] for t in keys])
-    pairs: Counter = Counter()
-    for d in range(1, window + 1):
-        for a, b in zip(ids[:-d].tolist(), ids[d:].tolist(), strict=True):
-            if a != b:
-                pairs[a, b] += 1
-                pairs[b, a] += 1
-    source, target = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-    weight = np.array(list(pairs.values()), float)
+    size = len(names)
+    ahead = np.concatenate([ids[:-d] * size + ids[d:] for d in range(1, window + 1)] or [np.zeros(0, int)])
+    ahead = ahead[ahead // size != ahead % size]
+    codes, weight = np.unique(np.concatenate([ahead, ahead % size * size + ahead // size]), return_counts=True)
+    source, target = codes // size, codes % size
     out = np.bincount(source, weight, len(names))
     rank = np.ones(len(names))
     for _ in range(rounds):

@@ -21,7 +21,7 @@ _RULES = [
     (_RE(rf"ํ([{T.TONES}]*)า"), r"\1ำ"),
     (_RE(rf"([{T.FOLLOW}]+)([{T.TONES}]+)"), r"\2\1"),
     (_RE("([^ฤฦ])ๅ"), r"\1า"),
-    (_RE(rf"([{T.ONCE}])(?: *\1)+"), r"\1"),
+    (_RE(rf"([{T.ONCE}]) *(?=\1)"), ""),
     (_RE(rf"[{T.TONES}]*([{T.TONES}])"), r"\1"),
     (_RE(rf"\A[{T.MARKS}]+"), ""),
     (_RE(rf" +[{T.MARKS}]+"), " "),

@@ -242,11 +242,17 @@ def heaviest(run: str, d: Dictionary) -> list[Span]:
 
 # Latin and Korean.
 
-LATIN_WORD = re.compile(r"(?:[^\W_]|(?<=[^\W_])['-](?=[^\W_]))+")
+#: Anything but Latin letters, ASCII digits and common signs; texts without it take the patterns' way.
+UNUSUAL = re.compile("[^\x00-\xa9\xab-\xb4\xb6-\xb9\xbb-\u024f\u2010-\u2027\u2030-\u205e]")
+LATIN_WORD = re.compile(r"[^\W_\xb2\xb3\xb9\xbc-\xbe]+(?:['-][^\W_\xb2\xb3\xb9\xbc-\xbe]+)*")
+LATIN_LETTER = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 
 
 def latin_spans(text: str) -> Iterator[Span]:
     """Runs of letters and decimal digits with single inner apostrophes and hyphens."""
+    if not UNUSUAL.search(text):
+        yield from (m.span() for m in LATIN_WORD.finditer(text))
+        return
     at, n = 0, len(text)
     good = lambda c: c.isalpha() or c.isdecimal()
     while at < n:
@@ -298,6 +304,10 @@ def language_of(char: str) -> str | None:
 
 def language_runs(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """(language, start, end, has kana). Common characters belong to the run before them; none starts one."""
+    if not UNUSUAL.search(text):
+        if first := LATIN_LETTER.search(text):
+            yield "latin", first.start(), len(text), False
+        return
     at, n = 0, len(text)
     while at < n:
         language = language_of(text[at])

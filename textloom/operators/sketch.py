@@ -11,16 +11,17 @@ PRIME, SKETCH_BASIS, EMBED_BASIS = U(1099511628211), U(1469598103934665603), U(1
 P = (1 << 61) - 1
 
 
-def fnv1a(items: list[bytes], start: int | np.uint64) -> np.ndarray:
-    """FNV-1a of each item, all items advancing byte by byte together."""
-    h = np.full(len(items), start, U)
+def fnv1a(items: list[bytes], start: np.uint64 | np.ndarray) -> np.ndarray:
+    """FNV-1a of each item from its start, all items advancing byte by byte together."""
+    h = np.empty(len(items), U)
+    h[:] = start
     if not items:
         return h
     lengths = np.fromiter(map(len, items), np.int64, len(items))
     order = np.argsort(-lengths, kind="stable")
     joined = np.frombuffer(b"".join(items), np.uint8)
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))[order]
-    sizes, out = lengths[order], h.copy()
+    sizes, out = lengths[order], h[order]
     with np.errstate(over="ignore"):
         for k in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -k, side="left"))
@@ -89,7 +90,16 @@ def band_keys(signature: np.ndarray, bands: int, seed: int = 1) -> list[int]:
     """A key for each band of rows."""
     rows = len(signature) // bands
     parts = np.asarray(signature, np.int64)[: bands * rows].reshape(bands, rows)
-    return [int(hashed([part.tobytes()], seed + band).view(np.int64)[0]) for band, part in enumerate(parts)]
+    starts = SKETCH_BASIS ^ (U(seed) + np.arange(bands, dtype=U))
+    return finish(fnv1a([part.tobytes() for part in parts], starts)).view(np.int64).tolist()
+
+
+def word_shingles(tokens: list[str], k: int = 5) -> list[bytes]:
+    """Runs of k tokens, joined by NUL; all tokens as one run if there are fewer. Repeats stay."""
+    words = [t.encode("utf-8", "surrogatepass") for t in tokens]
+    if len(words) <= k:
+        return [b"\0".join(words)] if words else []
+    return [b"\0".join(words[i : i + k]) for i in range(len(words) - k + 1)]
 
 
 def lsh_threshold(bands: int, rows: int) -> float:

@@ -26,11 +26,11 @@ def signatures(docs: DataFrame, k: int = BANDS * ROWS, words: int = SHINGLE, see
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [maker.signature([s.encode() for s in items]).tolist() if items else [] for items in b.column(1).to_pylist()]
+            out = [maker.signature(sketch.word_shingles(tokens, words)).tolist() if tokens else [] for tokens in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "signature"])
 
-    shingles = T.word_shingles(F.coalesce(T.lower_words(F.col("text")), F.array().cast("array<string>")), words)
-    return docs.select(F.col("doc_id").cast("bigint"), shingles.alias("items")).mapInArrow(run, "doc_id bigint, signature array<bigint>")
+    tokens = F.coalesce(T.lower_words(F.col("text")), F.array().cast("array<string>"))
+    return docs.select(F.col("doc_id").cast("bigint"), tokens.alias("tokens")).mapInArrow(run, "doc_id bigint, signature array<bigint>")
 
 
 def similar(docs: DataFrame, queries: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -40,7 +40,7 @@ def similar(docs: DataFrame, queries: DataFrame, least: float = LEAST, bands: in
     documents meet by band keys, each pair is tested once."""
     signed = materialize(signatures(docs, bands * rows), "signatures")
     reps = signed.where(F.size("signature") > 0).groupBy("signature").agg(F.min("doc_id").alias("class_id"))
-    asked = signatures(queries, bands * rows).where(F.size("signature") > 0)
+    asked = materialize(signatures(queries, bands * rows).where(F.size("signature") > 0), "asked")
     keys = vectorized(lambda s: sketch.band_keys(np.asarray(s), bands), "array<bigint>")
     left = materialize(asked.select(F.col("doc_id").alias("query_id"), F.posexplode(keys("signature")).alias("band", "key")), "query-bands")
     right = materialize(reps.select("class_id", F.posexplode(keys("signature")).alias("band", "key")), "bands")
