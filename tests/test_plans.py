@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators import graph, register
 from textloom.plans import corpus, dense, fusion, near, search
 from textloom.sources import files
 from textloom.streaming import builders
@@ -120,3 +121,21 @@ def test_stream_builders(spark, tmp_path):
     vocabulary.start(stream(), str(tmp_path / "c2")).awaitTermination()
     rows = vocabulary.read().collect()
     assert sorted(r.id for r in rows) == [0, 1, 2] and {r.term for r in rows} == {"a", "b", "c"}
+
+
+def test_graph_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 24))
+    x = centres[rng.integers(20, size=1200)] + 0.5 * rng.normal(size=(1200, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    queries = rows.where("vec_id % 20 = 0")
+    exact = {(r.query_id, r.vec_id) for r in dense.search(rows, queries, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in graph.search(rows, queries, 10, shards=3).collect()}
+    assert len(found & exact) >= 0.95 * len(exact)
+
+
+def test_sql_functions(spark):
+    names = register.register(spark)
+    assert "text_terms" in names
+    row = spark.sql("SELECT text_terms('Ab cd'), text_sentences('One! Two'), text_nfc(NULL), text_chunks('a b')[0].end").first()
+    assert list(row) == [["Ab", "cd"], ["One!", "Two"], None, 3]

@@ -47,12 +47,12 @@ def test_words_and_fields(spark):
     assert column(spark, ["abcd xy", ""], lambda c: T.char_ngrams(c, 3)) == [["abc", "bcd", "xy"], []]
     assert column(spark, [" a  b ", ""], T.space_fields) == [["", "a", "b", ""], []]
     assert column(spark, ["HTTP", "Http", "A"], T.fold) == ["HTTP", "http", "a"]
-    found = column(spark, [" né \n\n  b c\r\nd"], T.paragraphs)[0]
-    assert [(p.text, p.start) for p in found] == [("né", 1), ("b c", 9), ("d", 14)]
+    found = sentences.paragraphs(" né \n\n  b c\r\nd")
+    assert [(p["text"], p["start"]) for p in found] == [("né", 1), ("b c", 9), ("d", 14)]
 
 
 def test_long_texts_do_not_break_patterns(spark):
-    assert column(spark, ["a" * 200_000 + " " + "b-" * 20_000, "ะ" * 50_000], lambda c: F.size(T.words(T.normalize(c)))) == [2, 1]
+    assert column(spark, ["a" * 200_000 + " " + "b-" * 20_000, "ะ" * 50_000, "x" + " " * 100_000 + "y", "่" * 50_000], lambda c: F.size(T.words(T.normalize(c)))) == [2, 1, 2, 0]
 
 
 def test_weighting_worked_example(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed, phonetic, weighting
 from .functions import text as T
-from .operators import keywords, normal, segment, sentences, sketch
+from .operators import graph, keywords, normal, segment, sentences, sketch
 from .operators.arrow import SPANS, byte_spans, vectorized
 from .plans import corpus, dense, discover, fusion, near, search
 from .plans.storage import materialize
@@ -135,7 +135,7 @@ def space_sentences(spark, sf_dir):
 
 @query(rf"WITH l AS (SELECT doc_id, trim(unnest(regexp_split_to_array(coalesce(text, ''), '[\r\n]'))) AS s FROM documents), x AS (SELECT doc_id, regexp_replace(s, '\A[{EDGE}]+|[{EDGE}]+\z', '', 'g') AS s FROM l) SELECT doc_id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM x WHERE s <> '' GROUP BY doc_id")
 def paragraphs(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.explode(T.paragraphs(F.coalesce("text", F.lit("")))).alias("p"))
+    rows = docs(spark, sf_dir).select("doc_id", F.explode(vectorized(sentences.paragraphs, SPANS)("text")).alias("p"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("p.text")).cast("bigint").alias("chars"))
 
 
@@ -270,6 +270,11 @@ def pq_topk(spark, sf_dir):
     return dense.search(rows, queries, scorer=dense.ProductQuantizer.fit(rows).scores)
 
 
+@query()
+def hnsw_topk(spark, sf_dir):
+    return graph.search(*vectors(spark, sf_dir))
+
+
 # Fusion: benchmark items as text queries, the vectors of the same ids as dense ones.
 
 HYBRID = f"""WITH {M}, {VEC}, s AS (SELECT query_id, doc_id, sum(weight * ({FORMULAS['bm25']})) AS score FROM m GROUP BY 1, 2),

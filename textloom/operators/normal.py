@@ -12,19 +12,19 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TRIGGER = _RE(r"[\u0E30-\u0E4E\u200B\u200C\n\t]|\A |  | \Z")
 _RULES = [
     (_RE("[\u200b\u200c]"), ""),
-    (_RE(r" *\n[ \n]*"), "\n"),
-    (_RE(" +"), " "),
-    (_RE(rf"\A[{SPACE}]+|[{SPACE}]+\Z"), ""),
+    (_RE(r"(?<! ) *+\n[ \n]*+"), "\n"),
+    (_RE(" ++"), " "),
+    (_RE(rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\Z"), ""),
     (_RE(rf"(?<![{T.VOWELS}])([{T.CONSONANTS}]) ([{T.MARKS}])"), r"\1\2"),
     (_RE("เเ"), "แ"),
-    (_RE(rf"([{T.TONES}์]+)([{T.ABOVE}{T.BELOW}]+)"), r"\2\1"),
+    (_RE(rf"(?<![{T.TONES}์])([{T.TONES}์]++)([{T.ABOVE}{T.BELOW}]+)"), r"\2\1"),
     (_RE(rf"ํ([{T.TONES}]*)า"), r"\1ำ"),
-    (_RE(rf"([{T.FOLLOW}]+)([{T.TONES}]+)"), r"\2\1"),
+    (_RE(rf"(?<![{T.FOLLOW}])([{T.FOLLOW}]++)([{T.TONES}]+)"), r"\2\1"),
     (_RE("([^ฤฦ])ๅ"), r"\1า"),
     (_RE(rf"([{T.ONCE}]) *(?=\1)"), ""),
     (_RE(rf"[{T.TONES}]*([{T.TONES}])"), r"\1"),
     (_RE(rf"\A[{T.MARKS}]+"), ""),
-    (_RE(rf" +[{T.MARKS}]+"), " "),
+    (_RE(rf"(?<! ) ++[{T.MARKS}]+"), " "),
 ]
 _DIGITS = str.maketrans("๐๑๒๓๔๕๖๗๘๙", "0123456789")
 #: Combining classes of the marks that have one.

@@ -316,6 +316,12 @@ def trimmed(text: str, a: int, b: int) -> Span:
     return a, b
 
 
+def paragraphs(text: str) -> list[dict]:
+    """Lines (text, start, end), trimmed, none empty, with byte offsets."""
+    spans = [trimmed(text, *m.span()) for m in _LINE.finditer(text)]
+    return byte_spans(text, [(a, b) for a, b in spans if a < b])
+
+
 def default_sentences(paragraph: str) -> list[str]:
     """Sentences with the blanks that follow each, so that they concatenate to the paragraph."""
     out, at = [], 0
