@@ -24,3 +24,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """df over all cores: an input of fewer partitions than cores, which is small, is dealt anew by a column."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
