@@ -11,6 +11,7 @@ from .text import sub
 CONS = "กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ"
 # Consonants by sound, coded 1 to 8
 SOUNDS = ["กขฃคฆฅ", "จฉชซฌซฐทฒดฎตสศษ", "ฟฝพผภบป", "ง", "ลฬรนณฦญ", "ม", "ย", "ว"]
+# Letters that a cancelling mark silences
 SILENCED = rf"จน์|มณ์|ณฑ์|ทร์|ตร์|[{CONS}]์|[{CONS}][\x{{0E30}}-\x{{0E39}}]์"
 MOST_CHARS = 256
 

@@ -16,6 +16,7 @@ SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 LOOSE = r"(?<![\p{L}\p{Nd}])['-]|['-](?![\p{L}\p{Nd}])"
 WORD = r"[\p{L}\p{Nd}'-]+"
 
+# Classes of Thai characters
 TONES = "่้๊๋"
 ABOVE = "ัิีึืํ็"
 BELOW = "ุู"

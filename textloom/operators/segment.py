@@ -93,7 +93,7 @@ def subwords(d: Dictionary, word: str, most: int = 16) -> list[str]:
 
 C, TONE, TAIL = "[ก-ฮ]", "[่-๋]?", "(?:[ก-ฮ][ก-ฮ]?[ูุิ]?์)?"
 AHEAD = r"(?=[เ-ไก-ฮ]|\Z)"
-#: Character clusters, the first alternative that matches; c, t and k as in the usual notation.
+# Character clusters, of which the first that matches counts; c, t and k as in the usual notation
 CLUSTER_FORMS = """
 เc็ck เcctาะk เccีtยะk เccีtย>k เcc็ck เcิc์ck เcิtck เcีtยะ?k เcืtอะ?k เc[ิีุู]tย>k เctา?ะ?k
 cัtวะk c[ัื]tc[ุิะ]?k c[ิุู]์ c[ะ-ู]tk cรรc์ c็ ct[ะาำ]?k ck

@@ -23,6 +23,7 @@ Span = tuple[int, int]
 _PIECE = re.compile(r"[^ \t\n\r\v\f]+")
 OPEN, CLOSE = "([{（「“‘«『〈", ")]}）」”’»『〉".replace("『", "』")
 _ENDS, _STARTS, _MONTHS, _HONORED = tuple(ENDERS), tuple(STARTERS), tuple(MONTHS), tuple(HONORIFICS)
+# Marks that end a sentence
 STOPS = ("!", "?", "…", "...", "๚", "๛")
 AFTER_HONORIFIC = 2
 
@@ -209,6 +210,7 @@ class Crf:
     """Two labels, I and E; weights by key as (I, E), transitions by pair of labels."""
 
     weights: dict[str, tuple[float, float]] = field(default_factory=dict)
+    # Transitions II, IE, EI, EE
     transitions: tuple[float, float, float, float] = (1.071558, -0.604471, -0.710948, -2.615432)
 
     def labels(self, tokens: Sequence[str]) -> list[str]:

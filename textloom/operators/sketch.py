@@ -7,6 +7,7 @@ import math
 import numpy as np
 
 U = np.uint64
+# The constants of FNV-1a, two bases
 PRIME, SKETCH_BASIS, EMBED_BASIS = U(1099511628211), U(1469598103934665603), U(14695981039346656037)
 P = (1 << 61) - 1
 
