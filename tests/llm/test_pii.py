@@ -78,3 +78,20 @@ def test_added_spans_leave_base_spans_alone():
         more = [s for s in every if s not in base]
         assert all(s[2] <= b[1] or s[1] >= b[2] for s in more for b in base)
     assert rng
+
+
+def test_islands_are_the_whole_text():
+    rng, crf = random.Random(12), pii.model()
+    plain = lambda n: " ".join(rng.choice(["lo", "the", "at", "mi", "dot", "ver", "re.", "(ou)", "a_b", "x" * 150]) for _ in range(n))
+    odd = ["8[.]8[.]8[.]8", "1 . 1 . 1 . 1", "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "key = a1b2c3d4e5f6a7b8c9d0", "7", "jo [at] (mail) [dot] org", "jo_at_mail . de", "j@ k.com", "x@y.zz", "4111111111111111at a . de"]
+    added = 0
+    for text in [f"{plain(60)} {t} {plain(60)}" for t in odd] + [" ".join(x for _ in range(4) for x in (plain(rng.randint(0, 50)), rng.choice(odd))) for _ in range(150)] + [t for t, _ in pii.generated(150, seed=3)]:
+        base, every = pii.find_spans(text, crf)
+        want, at = list(base), 0
+        for a, b in [*sorted((a, b) for _, a, b in base), (len(text), len(text))]:
+            part = text[at : max(at, a)]
+            want += [(k, x + at, y + at) for k, x, y in crf.decode(pii.tokens(part, 0, len(part)))]
+            at = max(at, b)
+        assert sorted(every) == sorted(want), text
+        added += len(every) - len(base)
+    assert added > 100

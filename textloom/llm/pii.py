@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -99,8 +100,8 @@ def base_spans(text: str) -> list[Span]:
 MOST = 14
 TYPES = ("email", "ip", "card", "phone", "secret", "account")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-#: What an island of tokens is built around: numbers, and an "at" with a name and a "dot" after it.
-ANCHOR = re.compile(r"[0-9][0-9]|(?:@|[\[(]at[\])]|\b(?:at|arobase)\b)\s{0,2}[\w-]{1,60}(?:\s{0,2}[\[(]?\bdot\b|\x20?\.\x20?(?=\w)|\s?[\[(]\.)")
+#: Finds every token that a candidate needs: any digit, or an "at" that one name and a "dot" follow.
+ANCHOR = re.compile(r"[0-9]|(?:@|(?<![^\W_])(?:at|arobase)(?![^\W_]))(?:\s{0,3}[\[\]()]){0,12}\s{0,3}(?:[^\W_]++|[^\w\s\[\]()]|_)(?:\s{0,3}[\[\]()]){0,12}\s{0,3}(?:\.|dot)")
 AT, DOT = {"@", "at", "arobase"}, {".", "dot"}
 KEYS = {"token", "secret", "password", "passwd", "key", "bearer", "apikey"}
 NEAR = {"email": {"mail", "email", "contact", "write"}, "phone": {"call", "phone", "tel", "mobile", "fax", "ring"}, "card": {"card", "visa", "credit"}, "ip": {"ip", "host", "server", "address"}, "account": {"iban", "account", "konto", "compte"}, "secret": KEYS}
@@ -332,36 +333,69 @@ def model() -> SemiCRF:
     return SemiCRF().fit(generated())
 
 
-#: Characters on each side of an anchor that an entity can reach, and the text tokenized around it.
-SIDE = 120
+#: Characters looked at first on each side of an anchor, and the tokens there that a candidate or its features can reach.
+SIDE, MARGIN = 120, MOST + REACH
+
+
+def enough(text: str, a: int, b: int) -> bool:
+    return sum(1 for _ in itertools.islice(TOKEN.finditer(text, a, b), MARGIN)) == MARGIN
+
+
+def before(text: str, at: int, floor: int) -> int:
+    """Where MARGIN tokens before `at` begin; not exact at or below floor."""
+    side = SIDE
+    while True:
+        a = max(0, at - side)
+        while a > max(0, floor) and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        if a <= max(0, floor) or enough(text, a, at):
+            return a
+        side *= 2
+
+
+def after(text: str, at: int) -> int:
+    """Where MARGIN tokens after `at` end."""
+    side = SIDE
+    while True:
+        b = RUN.match(text, min(len(text), at + side)).end()
+        if b == len(text) or enough(text, at, b):
+            return b
+        side *= 2
+
+
+RUN = re.compile(r"[^\W_]*+")
 
 
 def islands(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of the text around anchors; parts that touch are one, and none begins or ends inside a word."""
-    begin = end = -1
+    """Parts of the text that hold every candidate segment and all that its features look at, so that decoding the
+    parts is decoding the text; parts that touch are one, and none begins or ends inside a word."""
+    begin = last = end = -1
     for m in ANCHOR.finditer(text):
-        a, b = max(0, m.start() - SIDE), min(len(text), m.end() + SIDE)
-        if begin >= 0 and a <= end:
-            end = max(end, b)
-        else:
-            if begin >= 0:
+        a = -1
+        if last >= 0 and m.start() > max(end, last + SIDE):
+            end = after(text, last)
+        if last < 0 or m.start() > max(end, last + SIDE):
+            a = before(text, m.start(), end)
+            if last >= 0 and a > end:
                 yield begin, end
-            begin, end = a, b
-    if begin >= 0:
-        yield begin, end
+            if last < 0 or a > end:
+                begin, end = a, m.end()
+        last = m.end()
+    if last >= 0:
+        yield begin, after(text, last)
 
 
 def learned_spans(text: str, base: list[Span], crf: SemiCRF) -> list[Span]:
-    """The CRF's spans that touch no base span. A tokenized part is cut at base spans, which are settled."""
+    """The CRF's spans of the text between base spans, which are settled."""
     out: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
-    for begin, end in islands(text):
-        at = begin
-        for a, b in [*[(a, b) for a, b in taken if b > begin and a < end], (end, end)]:
-            if a > at:
-                out += decode_part(text, at, a, crf)
-            at = max(at, b)
-    return [s for s in out if all(s[2] <= a or s[1] >= b for a, b in taken)]
+    at = 0
+    for a, b in [*sorted((a, b) for _, a, b in base), (len(text), len(text))]:
+        if a > at:
+            part = text[at:a]
+            for begin, end in islands(part):
+                out += [(k, x + at, y + at) for k, x, y in decode_part(part, begin, end, crf)]
+        at = max(at, b)
+    return out
 
 
 def decode_part(text: str, begin: int, end: int, crf: SemiCRF) -> list[Span]:
