@@ -139,3 +139,14 @@ def test_sql_functions(spark):
     assert "text_terms" in names
     row = spark.sql("SELECT text_terms('Ab cd'), text_sentences('One! Two'), text_nfc(NULL), text_chunks('a b')[0].end").first()
     assert list(row) == [["Ab", "cd"], ["One!", "Two"], None, 3]
+
+
+def test_pq_topk_recall(spark, tmp_path):
+    from textloom import catalog
+
+    x = np.random.default_rng(9).normal(size=(2000, 64))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows, queries = catalog.vectors(spark, str(tmp_path))
+    exact = {(r.query_id, r.vec_id) for r in dense.search(rows, queries, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in catalog.queries()["pq_topk"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(exact) == 1000 and len(found & exact) >= 0.9 * len(exact)

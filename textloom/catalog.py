@@ -268,7 +268,7 @@ def binary_then_rescore(spark, sf_dir):
 @query()
 def pq_topk(spark, sf_dir):
     rows, queries = vectors(spark, sf_dir)
-    return dense.search(rows, queries, scorer=dense.ProductQuantizer.fit(rows).scores)
+    return dense.rescore(dense.search(rows, queries, k=200, scorer=dense.ProductQuantizer.fit(rows).scores), rows, queries)
 
 
 @query()
