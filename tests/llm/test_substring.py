@@ -17,18 +17,26 @@ def expected(rows, window=50):
         for j in range(len(words) - window + 1):
             k = tuple(words[j : j + window])
             first[k] = min(first.get(k, own), own)
-    gone = {}
-    for _, own, words in split:
-        for j in range(len(words) - window + 1):
-            if first[tuple(words[j : j + window])] < own:
-                gone.setdefault(own, set()).update(range(j, j + window))
     out = []
     for i, own, words in split:
-        kept = [w for k, w in enumerate(words) if k not in gone.get(own, ())]
+        gone = set()
+        for j in range(len(words) - window + 1):
+            if first[tuple(words[j : j + window])] < own:
+                gone.update(range(j, j + window))
+        kept = [w for k, w in enumerate(words) if k not in gone]
         out.append((i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return out
 
 
+@pytest.mark.parametrize("limit", [substring.BROADCAST_BYTES, 0])
+def test_rows_of_one_doc_id_are_judged_apart(spark, limit):
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(1, p), (2, p), (2, q), (2, q), (None, q[:100]), (3, f"{q} {p}")]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), broadcast_bytes=limit)
+    same(got, expected(rows))
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got.collect()) == [(0, 0), (1, 0), (2, 0), (2, 0), (2, 60), (3, 120)]
+
+
 def test_cover_has_every_difference():
     d = {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}
     assert d == set(range(substring.PERIOD))

@@ -112,14 +112,14 @@ ORACLE = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op8_substring_dedup": r"""
-        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
-             win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+             win AS (SELECT n, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT n, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
              least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
-             gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (h) WHERE doc_id > m),
-             u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
-             kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS n FROM u ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
-        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
-        FROM d LEFT JOIN kept USING (doc_id)""",
+             gone AS (SELECT DISTINCT n, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (h) WHERE doc_id > m),
+             u AS (SELECT n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+             kept AS (SELECT n, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS c FROM u ANTI JOIN gone USING (n, p) GROUP BY n)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(c, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (n)""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UP}', '{LOW}')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)

@@ -14,8 +14,11 @@ positions are hashed (a fifth of all); a repeated passage shares at least one, w
 Steps 2 and 4 bring ranges to the texts. Where the ranges of all documents are within `broadcast_bytes` they are
 sent to the workers and texts are only scanned; beyond that they are joined by doc_id.
 
+A row is known by its doc_id and a hash of its text, so ranges found in one row never touch another row of that doc_id.
+
 Definitions: a null or empty text has no words; a null doc_id is the smallest document; rows that share a doc_id are
-one document, whose ranges apply to each of them. An empty table gives an empty result, further columns are ignored.
+judged each by its own windows, against documents with a smaller doc_id. An empty table gives an empty result, further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,29 +92,42 @@ def ranges_of(at: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.stack([begin[np.concatenate(([0], split))], end[np.concatenate((split - 1, [len(at) - 1]))]], 1)
 
 
+WINDOWS = "h bigint, doc bigint, th bigint, pos int"
+
+
+class Collected:
+    """Window hashes of rows (doc, th), gathered to a batch of WINDOWS."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, h: np.ndarray, doc: int, th: int, at: np.ndarray) -> None:
+        self.parts.append((h, np.full(len(at), doc, np.int64), np.full(len(at), th, np.int64), at.astype(np.int32)))
+
+    def batch(self) -> pa.RecordBatch:
+        none = [np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int32)]
+        return batch(["h", "doc", "th", "pos"], [pa.array(np.concatenate(x)) for x in zip(none, *self.parts, strict=True)])
+
+
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc, pos): hashes of the windows at cover positions."""
+    """(h, doc, th, pos): the hashed windows at cover positions of docs (doc, th, text)."""
     size = window - PERIOD + 1
 
     def factory():
         roll = Rolling()
 
         def step(b: pa.RecordBatch):
-            hs, doc, pos = [], [], []
-            for one, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
+            out = Collected()
+            for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), strict=True):
                 words = text.split()
-                if len(words) < window:
-                    continue
-                at = cover_positions(len(words) - size + 1)
-                hs.append(roll.windows(roll.prefix(words), at, size))
-                doc.append(np.full(len(at), one, np.int64))
-                pos.append(at.astype(np.int32))
-            flat = [np.concatenate([*x, np.zeros(0, k)]) for x, k in ((hs, np.int64), (doc, np.int64), (pos, np.int32))]
-            yield batch(["h", "doc", "pos"], [pa.array(x) for x in flat])
+                if len(words) >= window:
+                    at = cover_positions(len(words) - size + 1)
+                    out.add(roll.windows(roll.prefix(words), at, size), doc, th, at)
+            yield out.batch()
 
         return step
 
-    return arrow_map(docs, "h bigint, doc bigint, pos int", factory, rows=200)
+    return arrow_map(docs, WINDOWS, factory, rows=200)
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -120,31 +136,34 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def packed_ranges(rows: DataFrame, before: int, after: int) -> DataFrame:
-    """(doc, ranges): the merged ranges around the positions of rows (doc, pos), packed as 32-bit pairs."""
+    """(doc, th, ranges): the merged ranges around the positions of rows (doc, th, pos), packed as 32-bit pairs.
+
+    A row's positions are a set, so repeated rows are reduced before they meet."""
 
     def factory():
         def step(b: pa.RecordBatch):
-            at = b.column(1)
+            at = b.column(2)
             values, ends = at.values.to_numpy().astype(np.int64), at.offsets.to_numpy()
             out = [ranges_of(np.unique(values[x:y]), before, after).astype("<i4").tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            yield batch(["doc", "ranges"], [b.column(0), pa.array(out, pa.binary())])
+            yield batch(["doc", "th", "ranges"], [b.column(0), b.column(1), pa.array(out, pa.binary())])
 
         return step
 
-    return arrow_map(rows.groupBy("doc").agg(F.collect_list("pos").alias("at")), "doc bigint, ranges binary", factory)
+    return arrow_map(rows.groupBy("doc", "th").agg(F.collect_set("pos").alias("at")), "doc bigint, th bigint, ranges binary", factory)
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, broadcast_bytes: int, inner: bool):
-    """docs (doc, text, ...) with the packed ranges of each document: a frame and a function from a batch to its ranges.
+    """docs (doc, th, text, ...) with the packed ranges of each row: a frame and a function from a batch to its ranges.
 
-    ranges is a written table. inner: documents without ranges can be left out."""
-    size = ranges.agg(F.sum(F.octet_length("ranges") + 100)).first()[0] or 0
+    ranges is a written table. inner: rows without ranges can be left out."""
+    size = ranges.agg(F.sum(F.octet_length("ranges") + 120)).first()[0] or 0
     if size > broadcast_bytes:
         at = len(docs.columns)
-        return docs.join(ranges, "doc", "inner" if inner else "left"), lambda: lambda b: b.column(at).to_pylist()
+        return docs.join(ranges, ["doc", "th"], "inner" if inner else "left"), lambda: lambda b: b.column(at).to_pylist()
     found = ranges.toArrow()
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(found.column("doc").to_pylist(), found.column("ranges").to_pylist(), strict=True)))
-    return docs, lambda: (lambda d: lambda b: [d.get(x) for x in b.column(0).to_pylist()])(known.value)
+    keys = zip(found.column("doc").to_pylist(), found.column("th").to_pylist(), strict=True)
+    known = docs.sparkSession.sparkContext.broadcast(dict(zip(keys, found.column("ranges").to_pylist(), strict=True)))
+    return docs, lambda: (lambda d: lambda b: [d.get(x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])(known.value)
 
 
 def unpacked(ranges: bytes | None) -> list[tuple[int, int]]:
@@ -152,30 +171,27 @@ def unpacked(ranges: bytes | None) -> list[tuple[int, int]]:
 
 
 def full_windows(docs: DataFrame, ranges: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
-    """(h, doc, pos): the full windows that start in each document's ranges."""
+    """(h, doc, th, pos): the full windows that start in each row's ranges."""
     frame, lookup = with_ranges(docs, ranges, broadcast_bytes, inner=True)
 
     def factory():
         roll, find = Rolling(), lookup()
 
         def step(b: pa.RecordBatch):
-            hs, doc, pos = [], [], []
-            for one, text, packed in zip(b.column(0).to_pylist(), raw(b.column(1)), find(b), strict=True):
+            out = Collected()
+            for doc, th, text, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), find(b), strict=True):
                 if not packed:
                     continue
                 words = text.split()
                 starts = [np.arange(x, min(y, len(words) - window + 1)) for x, y in unpacked(packed)]
                 at = np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int64)
                 if len(at):
-                    hs.append(roll.windows(roll.prefix(words), at, window))
-                    doc.append(np.full(len(at), one, np.int64))
-                    pos.append(at.astype(np.int32))
-            flat = [np.concatenate([*x, np.zeros(0, k)]) for x, k in ((hs, np.int64), (doc, np.int64), (pos, np.int32))]
-            yield batch(["h", "doc", "pos"], [pa.array(x) for x in flat])
+                    out.add(roll.windows(roll.prefix(words), at, window), doc, th, at)
+            yield out.batch()
 
         return step
 
-    return arrow_map(frame, "h bigint, doc bigint, pos int", factory, rows=200)
+    return arrow_map(frame, WINDOWS, factory, rows=200)
 
 
 NAMES = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
@@ -190,7 +206,7 @@ def removed(docs: DataFrame, ranges: DataFrame, kind: str, broadcast_bytes: int,
 
         def step(b: pa.RecordBatch):
             n, gone, kept = [], [], []
-            for body, packed in zip(raw(b.column(1)), find(b), strict=True):
+            for body, packed in zip(raw(b.column(2)), find(b), strict=True):
                 words = body.split()
                 n.append(len(words))
                 if packed:
@@ -202,7 +218,7 @@ def removed(docs: DataFrame, ranges: DataFrame, kind: str, broadcast_bytes: int,
                 else:
                     gone.append(0)
                 kept.append(b" ".join(words))
-            columns = [b.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode() for x in kept], pa.string()) if text else None]
+            columns = [b.column(3), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode() for x in kept], pa.string()) if text else None]
             yield batch(NAMES[:width], columns[:width])
 
         return step
@@ -215,12 +231,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, broadcast_bytes: int
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc"), "text", "doc_id")
-    found = anchors(own.select("doc", "text"), window)
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc"), F.xxhash64("text").alias("th"), "text", "doc_id")
+    plain = own.select("doc", "th", "text")
+    found = anchors(plain, window)
     repeated = materialize(shared(found), "anchors")
     # a window holds an anchor if the anchor starts at one of its first PERIOD words
     near = materialize(packed_ranges(found.join(repeated.select("h"), "h", "left_semi"), PERIOD - 1, 1), "near")
-    full = materialize(full_windows(own.select("doc", "text"), near, window, broadcast_bytes), "windows")
+    full = materialize(full_windows(plain, near, window, broadcast_bytes), "windows")
     # written first, so that the join's sides are two exchanges, between which Spark splits a hot passage's rows
     least = materialize(shared(full), "least")
     gone = full.join(least, "h").where("doc > least")
