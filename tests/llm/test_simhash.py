@@ -69,7 +69,7 @@ def test_fingerprints(odd, odd_rows):
 @pytest.mark.parametrize("limit", [simhash.BUCKET_LIMIT, 3])
 def test_components_are_those_of_all_links(spark, limit):
     prints = clustered()
-    frame = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in prints.items()], "doc_id bigint, fp bigint")
+    frame = spark.createDataFrame([(i, i, int(np.uint64(f).view(np.int64))) for i, f in prints.items()], "doc_id bigint, th bigint, fp bigint")
     name = brute(prints)
     got = {r.doc_id: r.component_id for r in simhash.linked(frame, limit).collect()}
     assert got == {i: name[f] for i, f in prints.items()}
@@ -119,3 +119,9 @@ def test_long_chains_of_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 900), (900, 950)]
     got = components(spark.createDataFrame(edges, "a bigint, b bigint"))
     same(got, [(i, 0) for i in range(201)] + [(x, 900) for x in (900, 950, 1000)])
+
+
+def test_rows_of_one_doc_id_are_kept_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, b), (None, "alone"), (3, "")], "doc_id bigint, text string")
+    same(simhash.keep_one(docs), [(1, a), (2, b), (None, "alone"), (3, "")])

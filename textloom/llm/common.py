@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a map function sees at once; documents can be long, so a batch of them is cut.
@@ -74,19 +74,30 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def first_row(text_hash: str = "th") -> Column:
+    """An aggregate: the first row (doc_id, th) of a group; a null doc_id only where there is no other."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_hash))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that name their group in found (doc_id, th, component_id, first), by doc_id and hash of the text."""
+    one, two = free_name(docs, "_lost"), free_name(docs, "_text_hash")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first"))
+    lost = found.where(~named).select(F.col("doc_id").alias(one), F.col("th").alias(two)).distinct()
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost[one]) & (F.xxhash64(docs["text"]) == lost[two]), "left_anti")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long): a row (node, root) for every node, root the smallest node reachable.
 
-    Alternating large-star and small-star rounds over a table of edges; each round is written to the shared
-    folder. Work a round is proportional to the edges, neither nodes nor edges come to the driver."""
+    Alternating large-star and small-star rounds over a table of edges, to the fixed point (their number grows with the
+    logarithm of the nodes); each round is written to the shared folder. Work a round is proportional to the edges,
+    neither nodes nor edges come to the driver."""
     spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    last = None
-    for _ in range(most):
-        print_ = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(print_) == last:
-            break
-        last = tuple(print_)
+    last, at = None, (0, None)
+    while at != last:
+        last = at
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -94,7 +105,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "small")
-    else:
-        raise RuntimeError("the components did not settle")
+        at = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())

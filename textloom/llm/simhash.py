@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, components, materialize, raw
+from .common import arrow_map, batch, components, first_row, keep_first, materialize, raw
 
 BITS, BUDGET = 64, 2
 WIDTHS = (13, 13, 13, 13, 12)
@@ -46,11 +46,16 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     begins = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     spans = zip(begins[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
-    counts, total = np.zeros(BITS, np.int64), len(words) - size + 1
-    while part := [digest(joined[a:b], seed) for a, b in itertools.islice(spans, BLOCK)]:
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return vote(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - size + 1))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have set."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -174,22 +179,26 @@ def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
 
 
 def linked(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """prints (doc_id, fp, ...) with component_id, the smallest doc_id that links reach."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    """prints (doc_id, th, fp, ...) with component_id, the smallest doc_id that links reach, and first, th of that row."""
+    distinct = materialize(prints.groupBy("fp").agg(first_row().alias("least")), "fps")
     roots = components(links(distinct, bucket_limit))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    name = named.select("fp", "root").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("first"))
+    return prints.join(name, "fp")
+
+
+def components_of(docs: DataFrame, size: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """doc_id, th (a hash of the text), fp, component_id, first of every row of docs (doc_id, text)."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return linked(materialize(fingerprints(own, size, ("doc_id", "th")), "prints"), bucket_limit)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text)."""
-    prints = materialize(fingerprints(docs, size), "prints")
-    return linked(prints, bucket_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components_of(docs, size, bucket_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """The rows of docs whose doc_id names their component, all columns."""
-    found = near_duplicates(docs, size, bucket_limit)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    """The row of docs that names each component, all columns; rows of the same doc_id and text stay or go together."""
+    return keep_first(docs, components_of(docs, size, bucket_limit))
