@@ -1,12 +1,14 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts scans each document once.
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. The automaton's patterns are the windows
-of 10 consecutive words of an item, between single spaces; an item of fewer words is one window. It runs over the
-document's words joined by single spaces, as bytes, and matches are mapped back to word numbers and to code points of
-the original text.
+of 10 consecutive words of an item; an item of fewer words is one window. Its letters are word numbers and its states
+flat arrays (word, first child, failure link, nearest end of a pattern): 16 bytes a state, about 160 a benchmark word.
+A document's words are numbered, places where no two words follow each other in any pattern leave the automaton at or
+next to its root and are passed over in one vector operation; the rest is walked state by state. Matches are ranges of
+words and are mapped back to code points of the original text.
 
-The benchmark goes to the workers as a broadcast of its windows. Its size is checked first: a benchmark of more than
-`max_bytes` is cut into blocks of whole items, each scanned in a pass of its own, so memory stays bounded.
+The automaton goes to the workers as a broadcast. The benchmark's size is checked first: one of more than `max_bytes`
+is cut into blocks of whole items, each scanned in a pass of its own, so memory stays bounded.
 
 Definitions: a null text has no words; items without words, null items and null item_ids have no windows; items with
 the same item_id count once. An empty documents table gives an empty result; with an empty benchmark nothing is hit.
@@ -16,8 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch, materialize, raw
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton: its nodes take some hundred times as much.
-MAX_BYTES = 512 * 1024
+#: Bytes of benchmark text in one automaton, which takes some thirty times as much in each worker.
+MAX_BYTES = 8 << 20
 FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 WORD = re.compile(rb"[^ ]+")
 
@@ -42,34 +45,149 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
+class Automaton:
+    """Aho-Corasick over word numbers (from 1) of patterns, the rows of a matrix padded with 0.
+
+    States are numbered level by level, root 0, children of a state one after another by word. Per state: word, parent,
+    first (its first child), fail, out (itself if a pattern ends there, else the nearest such state by failure links)."""
+
+    def __init__(self, patterns: np.ndarray, words: int):
+        n, width = patterns.shape
+        order = np.lexsort(patterns.T[::-1])
+        rows, self.base = patterns[order], np.int64(words + 1)
+        word, parent, self.level = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], [0, 1]
+        state, changed = np.zeros(n, np.int64), np.zeros(n, bool)
+        end = np.zeros(n, np.int64)
+        for d in range(width):
+            changed = changed | np.concatenate((np.ones(min(n, 1), bool), rows[1:, d] != rows[:-1, d]))
+            live = rows[:, d] > 0
+            new = changed & live
+            mine = self.level[-1] + np.cumsum(new) - 1
+            word.append(rows[new, d])
+            parent.append(state[new])
+            state = np.where(live, mine, state)
+            end = np.where(live, mine, end)
+            self.level.append(self.level[-1] + int(new.sum()))
+        self.word, self.parent = np.concatenate(word), np.concatenate(parent)
+        total = len(self.word)
+        self.first = (np.searchsorted(self.parent[1:], np.arange(total + 1)) + 1).astype(np.int32)
+        self.edges = self.parent[1:] * self.base + self.word[1:]
+        ends = np.zeros(total, bool)
+        ends[end] = n > 0
+        self.fail, self.out = np.zeros(total, np.int32), np.zeros(total, np.int32)
+        for d in range(1, width + 1):
+            own = np.arange(self.level[d], self.level[d + 1])
+            if d > 1:
+                self.fail[own] = self.failures(own)
+            self.out[own] = np.where(ends[own], own, self.out[self.fail[own]])
+        #: end: the state in which each pattern of the input ends
+        self.end = np.zeros(n, np.int64)
+        self.end[order] = end
+
+    def child(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The child of each state by each word, or -1."""
+        key = state * self.base + word
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        return np.where(self.edges[at] == key, at + 1, -1)
+
+    def failures(self, own: np.ndarray) -> np.ndarray:
+        word, at = self.word[own].astype(np.int64), self.fail[self.parent[own]].astype(np.int64)
+        out, todo = np.zeros(len(own), np.int64), np.arange(len(own))
+        while len(todo):
+            found = self.child(at[todo], word[todo])
+            out[todo] = np.maximum(found, 0)
+            todo = todo[(found < 0) & (at[todo] > 0)]
+            at[todo] = self.fail[at[todo]]
+        return out
+
+    def depth(self, state: int) -> int:
+        return bisect_right(self.level, state) - 1
+
+
 class Scanner:
     """The automaton of a list of items (item_id as string, text)."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
-        found: dict[bytes, tuple[int, set[str]]] = {}
-        for item, text in items:
-            for window in windows_of(words_of(text), size):
-                found.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1].add(item)
-        self.automaton = ahocorasick.Automaton()
-        for pattern, (n, owners) in found.items():
-            self.automaton.add_word(pattern.decode("latin-1"), (len(pattern), n, sorted(owners)))
-        if found:
-            self.automaton.make_automaton()
-        self.empty = not found
+        self.names = sorted({name for name, _ in items})
+        number, self.known = {name: i for i, name in enumerate(self.names)}, {}
+        parts, owners = [], []
+        for name, text in items:
+            ids = np.array([self.known.setdefault(w, len(self.known) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                rows = np.lib.stride_tricks.sliding_window_view(np.pad(ids, (0, max(0, size - len(ids)))), size)
+                parts.append(rows)
+                owners.append(np.full(len(rows), number[name], np.int64))
+        self.empty = not parts
+        if self.empty:
+            return
+        patterns = np.concatenate(parts)
+        a = Automaton(patterns, len(self.known))
+        pairs = np.unique(a.end * len(self.names) + np.concatenate(owners))
+        self.owners = pairs % len(self.names)
+        self.ends, at = np.unique(pairs // len(self.names), return_index=True)
+        self.owner_at = np.append(at, len(pairs))
+        self.level, self.base = a.level, a.base
+        one, two = np.arange(*a.level[1:3]), np.arange(a.level[2], a.level[-1])
+        self.root = np.zeros(len(self.known) + 1, np.int32)
+        self.root[a.word[one]] = one
+        self.alone = np.zeros(len(self.root), bool)
+        self.alone[a.word[one]] = a.out[one] == one
+        self.pairs = np.unique(a.word[a.parent[two]].astype(np.int64) * a.base + a.word[two])
+        lengths = np.unique((patterns > 0).sum(1))
+        self.shortest = int(min(lengths[lengths > 1], default=size + 1))
+        self.word, self.first, self.fail, self.out = a.word, a.first, a.fail, a.out
+
+    def steps(self) -> None:
+        """Views whose single values are read fast; made in the worker."""
+        self.views = tuple(memoryview(x) for x in (self.word, self.first, self.fail, self.out))
+
+    def walk(self, ids: list[int], begin: int, end: int) -> list[tuple[int, int]]:
+        """(place, state) of pattern ends between two places, from the root."""
+        word, first, fail, out = self.views
+        hits, state = [], int(self.root[ids[begin]])
+        for i in range(begin + 1, end):
+            w = ids[i]
+            while True:
+                lo, hi = first[state], first[state + 1]
+                at = lo if hi - lo < 2 else bisect_left(word, w, lo, hi)
+                if at < hi and word[at] == w:
+                    state = at
+                    break
+                if not state:
+                    break
+                state = fail[state]
+            e = out[state]
+            while e:
+                hits.append((i, e))
+                e = out[fail[e]]
+        return hits
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, merged ranges of hit words (end exclusive), items found."""
         words = words_of(text)
         if self.empty or not words:
             return len(words), [], []
-        line = b" " + b" ".join(words) + b" "
-        hits = list(self.automaton.iter(line.decode("latin-1")))
+        ids = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+        hits = [(int(i), int(self.root[ids[i]])) for i in np.flatnonzero(self.alone[ids])]
+        # places whose word and the next one follow each other in a pattern: after others the automaton is at most one word deep
+        begins = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        if len(begins) and len(self.pairs):
+            key = ids[begins] * self.base + ids[begins + 1]
+            begins = begins[self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key]
+            cut = np.flatnonzero(np.diff(begins) > 1)
+            starts, ends = begins[np.concatenate(([0], cut + 1))] if len(begins) else begins, begins[np.concatenate((cut, [len(begins) - 1]))] if len(begins) else begins
+            long = ends - starts + 2 >= self.shortest
+            if long.any():
+                plain = ids.tolist()
+                for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+                    hits += [(i, e) for i, e in self.walk(plain, a, b + 2) if e >= self.level[2]]
         if not hits:
             return len(words), [], []
-        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        first = np.searchsorted(spaces, [end - length + 1 for end, (length, _, _) in hits])
-        ranges = sorted({(int(a), int(a) + n) for a, (_, (_, n, _)) in zip(first, hits, strict=True)})
-        return len(words), merged(ranges), sorted({x for _, (_, _, owners) in hits for x in owners})
+        ranges = {(i + 1 - (bisect_right(self.level, e) - 1), i + 1) for i, e in hits}
+        owners: set[int] = set()
+        for at in np.searchsorted(self.ends, np.unique([e for _, e in hits])).tolist():
+            owners.update(self.owners[self.owner_at[at] : self.owner_at[at + 1]].tolist())
+        return len(words), merged(sorted(ranges)), sorted(self.names[x] for x in owners)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,10 +229,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "_text binary", "n_words bigint", f"hits {SPANS}", "items array<string>"])
     for number in numbers:
         items = [(r["item"], bytes(r["body"])) for r in blocks.where(F.col("block") == number).select("item", "body").collect()]
-        shared = spark.sparkContext.broadcast(sorted(items))
+        shared = spark.sparkContext.broadcast(Scanner(sorted(items), size))
 
         def factory(shared=shared):
-            scanner = Scanner(shared.value, size)
+            scanner = shared.value
+            if not scanner.empty:
+                scanner.steps()
 
             def step(b: pa.RecordBatch):
                 n = len(keep)
