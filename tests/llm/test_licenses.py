@@ -1,3 +1,5 @@
+import random
+
 from textloom.llm import decontam, licenses
 
 
@@ -27,22 +29,85 @@ def test_brute_force(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def votes_of(template, words):
+    """Votes by brute force: equal grams by diagonal."""
+    found = {}
+    for i in range(len(words) - 2):
+        for p in range(len(template.words) - 2):
+            if tuple(words[i : i + 3]) == template.words[p : p + 3]:
+                found.setdefault(i - p, []).append(p)
+    return list(found.items())
+
+
 def test_a_word_put_in_moves_the_diagonal():
-    words = "permission is hereby granted free of charge to any new person obtaining a copy".split()
-    template = next(t for t, (label, w, base) in enumerate(licenses.TEMPLATES) if label == "mit" and not base)
-    known = licenses.Hashes()
-    own = licenses.grams([w.encode() for w in licenses.TEMPLATES[template][1]], known)[0].tolist()
-    text = licenses.grams([w.encode() for w in words], known)[0].tolist()
-    votes = {}
-    for i, g in enumerate(text):
-        for p, h in enumerate(own):
-            if g == h:
-                votes.setdefault(i - p, []).append(p)
+    template = next(t for t in licenses.TEMPLATES if t.label == "mit" and t.kind == "passage")
+    votes = votes_of(template, b"permission is hereby granted free of charge to any new person obtaining a copy".split())
     assert len(votes) == 2
-    groups = licenses.merged_spans(list(votes.items()))
+    groups = licenses.merged_spans(template, votes)
     assert len(groups) == 1 and groups[0][0][0] == 0
 
 
+def longest(template, hits):
+    """The longest chain of hits by trying all; hits are few."""
+    best = 0
+    for mask in range(1 << len(hits)):
+        own = [hits[k] for k in range(len(hits)) if mask >> k & 1]
+        if all(a[0] < b[0] and a[1] < b[1] and abs(b[0] - b[1] - a[0] + a[1]) <= template.slip for a, b in zip(own, own[1:], strict=False)):
+            best = max(best, len(own))
+    return best
+
+
+def test_the_first_group_is_the_longest_chain():
+    rng = random.Random(2)
+    template = licenses.Template("x", tuple(b"w" * 30), "body")
+    for _ in range(150):
+        hits = sorted({(rng.randint(0, 30), rng.randint(0, 25)) for _ in range(rng.randint(1, 9))})
+        groups = licenses.merged_spans(template, [(pos - p, [p]) for pos, p in hits])
+        assert sorted(h for g in groups for h in g) == hits
+        assert max(map(len, groups)) == longest(template, hits)
+
+
+def test_words_put_into_a_body(spark):
+    rng = random.Random(3)
+    body = next(t for t in licenses.TEMPLATES if t.label == "bsd" and t.kind == "body")
+    rows, want = [], {}
+    for i in range(30):
+        words = [w.decode() for w in body.words]
+        for _ in range(10 if i % 2 else 0):
+            words.insert(rng.randrange(len(words)), "inserted")
+        if i % 3 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = ["holder"] * 10  # ten in a row
+        if i % 5 == 4:
+            words = words[: len(words) // 2]  # half the body, which is not enough of it; its passages are
+        before = ["lead"] * rng.randint(0, 40)
+        rows.append((i, " ".join(before + words + ["tail"] * 5)))
+        want[i] = len(before), len(before) + len(words)
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=tuple(t for t in licenses.TEMPLATES if t.kind == "body")).collect()}
+    for i, (a, b) in want.items():
+        spans = [(s.start, s.end) for s in got[i].spans if s.label == "bsd"]
+        if i % 5 == 4:
+            assert spans == [] and got[i].labels == ""
+        else:
+            assert len(spans) == 1 and abs(spans[0][0] - a) <= 4 and abs(spans[0][1] - b) <= 4 and got[i].labels == "bsd" and got[i].score >= 0.7
+
+
+def test_two_copies_are_two_spans():
+    for template in licenses.TEMPLATES:
+        if template.kind != "base":
+            words = [b"x", *template.words, b"y", b"z", *template.words]
+            groups = [g for g in licenses.merged_spans(template, votes_of(template, words)) if len(g) >= 0.9 * (len(template.words) - 2)]
+            assert [g[0][0] for g in groups] == [1, len(template.words) + 3], template
+
+
+def test_many_rows_under_one_key_and_a_join_without_broadcast(spark):
+    docs = spark.createDataFrame([(None, None), (None, ""), (7, "under the mit license")], "doc_id bigint, text string")
+    docs = docs.union(spark.range(20_000).selectExpr("cast(null as bigint)", "''"))
+    for limit in (licenses.BROADCAST_BYTES, 0):
+        got = licenses.scan_licenses(docs, broadcast_bytes=limit).groupBy("doc_id", "n_words", "labels").count().collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.labels, r["count"]) for r in got) == [(0, 0, "", 20_002), (7, 4, "mit", 1)]
+
+
 def test_odd_rows(odd, odd_rows, none):
     got = licenses.scan_licenses(odd).collect()
     key = lambda r: tuple((x is not None, x) for x in r)
