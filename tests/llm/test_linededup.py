@@ -46,6 +46,14 @@ def test_odd_rows(odd, odd_rows, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_more_documents_than_a_byte_counts(spark, options):
+    line = "a line that three hundred documents have"
+    docs = spark.createDataFrame([(i, line) for i in range(301)] + [(i, "another line of ten documents") for i in range(10)], "doc_id bigint, text string")
+    got = linededup.dedup_lines(docs, min_docs=300, **options).groupBy("n_dropped").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 11), (1, 300)]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 100, 50_000):

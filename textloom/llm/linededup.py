@@ -2,7 +2,7 @@
 
 The distinct keys of each document give 128-bit hashes, which are counted by document. The hashes found in `min_docs`
 documents or more go into shards of bounded size; each shard is a minimal perfect hash (levels of bit arrays, a key's
-slot is the rank of its bit) over arrays of a 64-bit fingerprint, a saturating count and the largest doc_id. Documents
+slot is the rank of its bit) over arrays of a 64-bit fingerprint, a count and the largest doc_id. Documents
 probe the arrays: the fingerprint tells foreign lines, so lines that are in few documents need no entry.
 
 The shards' total size is measured. Up to `broadcast_bytes` they go to every worker and documents are probed in one
@@ -89,20 +89,20 @@ class PerfectHash:
 
 
 class Shard:
-    """fingerprint, count (to 255) and largest doc_id of each slot."""
+    """fingerprint, count of documents and largest doc_id of each slot; only lines of enough documents have one."""
 
     def __init__(self, h: np.ndarray, fingerprint: np.ndarray, count: np.ndarray, largest: np.ndarray):
         self.hash = PerfectHash(h)
         at = self.hash.slots(h)
-        self.fingerprint, self.count, self.largest = (np.empty(len(h), kind) for kind in (np.uint64, np.uint8, np.int64))
-        self.fingerprint[at], self.count[at], self.largest[at] = fingerprint, np.minimum(count, 255), largest
+        self.fingerprint, self.count, self.largest = (np.empty(len(h), kind) for kind in (np.uint64, np.uint32, np.int64))
+        self.fingerprint[at], self.count[at], self.largest[at] = fingerprint, np.minimum(count, 0xFFFFFFFF), largest
         self.more: dict[tuple[int, int], int] = {}
 
-    def drops(self, h: np.ndarray, fingerprint: np.ndarray, doc: np.ndarray, min_docs: int = MIN_DOCS) -> np.ndarray:
-        """Which lines go: known ones in enough documents, but for the largest doc_id."""
+    def drops(self, h: np.ndarray, fingerprint: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which lines go: known ones, but for the largest doc_id."""
         at = self.hash.slots(h)
         slot = np.maximum(at, 0)
-        gone = (at >= 0) & (self.fingerprint[slot] == fingerprint) & (self.count[slot] >= min_docs) & (self.largest[slot] != doc)
+        gone = (at >= 0) & (self.fingerprint[slot] == fingerprint) & (self.largest[slot] != doc)
         if self.more:
             found = [self.more.get((a, b)) for a, b in zip(h.tolist(), fingerprint.tolist(), strict=True)]
             gone |= np.array([x is not None and x != d for x, d in zip(found, doc.tolist(), strict=True)], bool)
@@ -114,22 +114,23 @@ def shard_of(h: Column, shards: int) -> Column:
 
 
 def line_hashes(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(h, fp, doc): the distinct keys of each row of docs (doc_id, text)."""
+    """(h, fp, doc, th): the distinct keys of each row of docs (doc_id, text); th is a hash of the row's text."""
 
     def factory():
         def step(b: pa.RecordBatch):
-            keys, doc = [], []
+            keys, doc, hashed = [], [], []
             ids = b.column(0).fill_null(LOWEST).to_numpy(zero_copy_only=False)
-            for text, one in zip(raw(b.column(1)), ids, strict=True):
+            for text, one, th in zip(raw(b.column(2)), ids, b.column(1).to_numpy(), strict=True):
                 own = {k for line in text.split(b"\n") if (k := key_of(line, least)) is not None}
                 keys += own
                 doc.append(np.full(len(own), one, np.int64))
+                hashed.append(np.full(len(own), th, np.int64))
             h = hashes(keys).view(np.int64)
-            yield batch(["h", "fp", "doc"], [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.concatenate(doc))])
+            yield batch(["h", "fp", "doc", "th"], [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.concatenate(doc)), pa.array(np.concatenate(hashed))])
 
         return step
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), "h bigint, fp bigint, doc bigint", factory)
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text"), "h bigint, fp bigint, doc bigint, th bigint", factory)
 
 
 def build_index(lines: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
@@ -178,7 +179,7 @@ def result(ids: pa.Array, n: list[int], dropped: list[int], kept: list[bytes], t
     return batch(NAMES[: len(columns)], columns)
 
 
-def probe_broadcast(docs: DataFrame, index: DataFrame, shards: int, schema: str, least: int, min_docs: int, text: bool) -> DataFrame:
+def probe_broadcast(docs: DataFrame, index: DataFrame, shards: int, schema: str, least: int, text: bool) -> DataFrame:
     bodies = {r["shard"]: bytes(r["body"]) for r in index.collect()}  # the caller has checked their size
     shared = docs.sparkSession.sparkContext.broadcast(bodies)
 
@@ -193,7 +194,7 @@ def probe_broadcast(docs: DataFrame, index: DataFrame, shards: int, schema: str,
                 where = (h[:, 0].view(np.int64) >> 20) % shards
                 for k, shard in own.items():
                     mine = np.flatnonzero(where == k)
-                    out[mine] = shard.drops(h[mine, 0], h[mine, 1], ids[rows[mine]], min_docs)
+                    out[mine] = shard.drops(h[mine, 0], h[mine, 1], ids[rows[mine]])
                 return out
 
             yield result(b.column(0), *cut(raw(b.column(1)), drop, least), text)
@@ -203,23 +204,24 @@ def probe_broadcast(docs: DataFrame, index: DataFrame, shards: int, schema: str,
     return arrow_map(docs, schema, factory)
 
 
-def probe_routed(docs: DataFrame, lines: DataFrame, index: DataFrame, shards: int, schema: str, least: int, min_docs: int, text: bool, part_rows: int) -> DataFrame:
+def probe_routed(docs: DataFrame, lines: DataFrame, index: DataFrame, shards: int, schema: str, least: int, text: bool, part_rows: int) -> DataFrame:
     sizes = lines.groupBy(shard_of(F.col("h"), shards).alias("shard")).count()
     parts = materialize(index.select("shard").join(sizes, "shard").select("shard", F.ceil(F.col("count") / part_rows).cast("int").alias("parts")), "parts")
     routed = lines.withColumn("shard", shard_of(F.col("h"), shards)).join(F.broadcast(parts), "shard")  # a row for each shard of a million keys
-    routed = routed.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).select("shard", "part", "h", "fp", "doc")
+    routed = routed.withColumn("part", F.pmod(F.xxhash64("doc", "th"), F.col("parts")).cast("int")).select("shard", "part", "h", "fp", "doc", "th")
     copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "body")
 
     def probe(rows: pa.Table, body: pa.Table) -> pa.Table:
         if not (rows.num_rows and body.num_rows):
-            return pa.table({"doc": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
-        c = [rows.column(k).to_numpy() for k in ("h", "fp", "doc")]
-        gone = pickle.loads(body.column("body")[0].as_py()).drops(c[0].view(np.uint64), c[1].view(np.uint64), c[2], min_docs)
-        return pa.table({"doc": pa.array(c[2][gone]), "h": pa.array(c[0][gone])})
+            return pa.table({k: pa.array([], pa.int64()) for k in ("doc", "th", "h")})
+        c = [rows.column(k).to_numpy() for k in ("h", "fp", "doc", "th")]
+        gone = pickle.loads(body.column("body")[0].as_py()).drops(c[0].view(np.uint64), c[1].view(np.uint64), c[2])
+        return pa.table({"doc": pa.array(c[2][gone]), "th": pa.array(c[3][gone]), "h": pa.array(c[0][gone])})
 
-    found = routed.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "doc bigint, h bigint")
-    per_doc = found.groupBy("doc").agg(F.collect_set("h").alias("gone"))
-    joined = docs.join(per_doc, F.coalesce(docs["doc_id"], F.lit(LOWEST)) == per_doc["doc"], "left").select("doc_id", "text", "gone")
+    found = routed.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "doc bigint, th bigint, h bigint")
+    per_row = found.groupBy("doc", "th").agg(F.collect_set("h").alias("gone"))
+    own = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc"), F.xxhash64("text").alias("th"))
+    joined = own.join(per_row, ["doc", "th"], "left").select("doc_id", "text", "gone")
 
     def factory():
         def step(b: pa.RecordBatch):
@@ -244,5 +246,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = LEAST_CH
     index, shards = build_index(lines, min_docs, shard_keys)
     size = index.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     if size <= broadcast_bytes:
-        return probe_broadcast(own, index, shards, schema, least, min_docs, text)
-    return probe_routed(own, lines, index, shards, schema, least, min_docs, text, part_rows)
+        return probe_broadcast(own, index, shards, schema, least, text)
+    return probe_routed(own, lines, index, shards, schema, least, text, part_rows)
