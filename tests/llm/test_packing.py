@@ -58,7 +58,9 @@ def test_ranks_over_many_buckets(spark):
     rng = random.Random(6)
     rows = [(i, 0, rng.choice([300, 300, 300, 512, 700, 20]), i, 1) for i in range(500)]
     frame = spark.createDataFrame(rows, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
-    got = packing.ranked(frame, 500, bucket_rows=7).collect()
+    sizes = Counter(r[2] for r in rows)
+    lengths = spark.createDataFrame([(k, n, [(0, n, 0, 0)]) for k, n in sizes.items()], "length bigint, total bigint, places array<struct<lo:bigint,n:bigint,first:bigint,offset:bigint>>")
+    got = packing.ranked(frame, lengths, bucket_rows=7).collect()
     for length, n in Counter(r[2] for r in rows).items():
         assert sorted(r["rank"] for r in got if r["length"] == length) == list(range(n))
     seq = defaultdict(int)

@@ -95,3 +95,23 @@ def test_islands_are_the_whole_text():
         assert sorted(every) == sorted(want), text
         added += len(every) - len(base)
     assert added > 100
+
+
+def test_decode_is_the_best_segmentation():
+    rng, crf = random.Random(21), pii.model()
+    pool = ["12", "345", "at", "@", "dot", ".", "jo", "org", "+", "(", ")", "-", "key", "a1b2c3d4e5f60718", "8"]
+    for _ in range(120):
+        text = "".join(rng.choice(pool) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 9)))
+        toks = pii.tokens(text, 0, len(text))
+        scores = {(i, j): crf.score(f).max() for i, j, f in pii.candidates(toks)}
+
+        def best(i, scores=scores, n=len(toks)):
+            """Of all segmentations of the tokens from i."""
+            if i == n:
+                return 0.0
+            return max([best(i + 1)] + [s + best(j) for (a, j), s in scores.items() if a == i])
+
+        at = {a: k for k, (_, a, _) in enumerate(toks)}
+        to = {b: k + 1 for k, (_, _, b) in enumerate(toks)}
+        got = sum(scores[at[a], to[b]] for _, a, b in crf.decode(toks))
+        assert abs(got - best(0)) < 1e-9, text

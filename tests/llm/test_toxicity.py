@@ -33,6 +33,27 @@ def test_pairs_are_learned(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_margins_are_the_double_loop():
+    rng = np.random.default_rng(4)
+    w0, w, v = 0.3, rng.normal(size=50), rng.normal(size=(50, 3))
+    texts = [np.unique(rng.integers(0, 50, n)) for n in (0, 1, 2, 7, 40)]
+    got, sums = toxicity.margins(w0, w, v, *toxicity.ragged(texts))
+    for k, t in enumerate(texts):
+        pairs = sum(float(v[i] @ v[j]) for x, i in enumerate(t) for j in t[x + 1 :])
+        assert abs(got[k] - (w0 + w[t].sum() + pairs)) < 1e-9
+        assert np.allclose(sums[k], v[t].sum(0))
+
+
+def test_ids_of_any_kind_and_repeated_ids(spark):
+    docs, labels = corpus(300)
+    twice = [(f"d{i}", t) for i, t, _ in docs for _ in range(1 + (i % 3 == 0))]
+    frame = spark.createDataFrame(twice, "doc_id string, text string")
+    lab = spark.createDataFrame([(f"d{i}", y) for i, y in labels], "doc_id string, toxic int")
+    got = toxicity.score_documents(frame, lab, train_rows=120)
+    assert got.count() == len(twice) and got.schema["doc_id"].dataType.simpleString() == "string"
+    assert {r.held_out == (zlib.crc32(r.doc_id.encode()) % 5 == 0) for r in got.collect()} == {True}
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = corpus(300)
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in labels]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -29,7 +30,32 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    WRITTEN.append(("path", path))
+    return path
+
+
+#: Paths and tables written for the session's running work, for scratch() to delete.
+WRITTEN: list[tuple[str, str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when the block ends, what operators wrote in the shared folder within it.
+
+    The operators' results are lazy and read those intermediates, so write the result out within the block."""
+    began = len(WRITTEN)
+    try:
+        yield
+    finally:
+        gone = WRITTEN[began:]
+        del WRITTEN[began:]
+        for kind, name in gone:
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

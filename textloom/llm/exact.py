@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import WRITTEN, materialize, shared_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +38,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
         self.spark, self.path, self.buckets = spark, path or shared_path(spark, "digests"), buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
+        WRITTEN.append(("table", self.name))
         spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
 
     def entries(self) -> DataFrame:

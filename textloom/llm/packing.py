@@ -18,7 +18,7 @@ import base64
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch, materialize, strings
 
 LIMIT, END_ID = 1024, 0
-#: Pieces of one length that one task numbers, about.
-BUCKET_ROWS = 100_000
+#: Pieces of one length in a bucket, about.
+BUCKET_ROWS = 1000
 #: Code points that the fast path knows by class; texts with others go to the tokenizer whole.
 KNOWN = 0x250
 CACHE = 1 << 18
@@ -144,27 +144,35 @@ def intervals(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def ranked(rows: DataFrame, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """rows with rank, from 0 among those of their length."""
-    count = max(1, -(-total // bucket_rows))
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(count)))
+def ranked(rows: DataFrame, lengths: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows with rank, from 0 among those of their length, and the places that ranks of its bucket can have.
+
+    lengths (length, total, places) is a row for each length: a length's rows are dealt to as many buckets as its own
+    number asks for, numbered within them, and a bucket starts where those before it end."""
+    dealt = rows.join(F.broadcast(lengths.select("length", "total")), "length")
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.ceil(F.col("total") / bucket_rows)).cast("int")).drop("total")
     sizes = dealt.groupBy("length", "_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_first", F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    before = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a bucket takes over the few places that its ranks meet, so that no row looks through all places of its length
+    meets = F.filter("places", lambda x: (x["lo"] < F.col("_first") + F.col("_n")) & (x["lo"] + x["n"] > F.col("_first")))
+    before = before.join(F.broadcast(lengths), "length").select("length", "_b", "_first", meets.alias("_places"))
     own = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
-    return dealt.withColumn("_own", own - 1).join(before.select("length", "_b", F.coalesce("_first", F.lit(0)).alias("_first")), ["length", "_b"]).withColumn("rank", F.col("_first") + F.col("_own")).drop("_b", "_own", "_first")
+    numbered = dealt.withColumn("_own", own - 1).join(before, ["length", "_b"])
+    return numbered.withColumn("rank", F.col("_first") + F.col("_own")).drop("_b", "_own", "_first")
 
 
 def pack(rows: DataFrame, limit: int = LIMIT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """rows (with length, doc_id, start, ids_crc32, doc_tokens) with sequence_id and offset."""
     spark = rows.sparkSession
     histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
-    places = intervals(patterns(histogram, limit))
-    table = spark.createDataFrame(places or [(0, 0, 0, 0, 0)], "length bigint, lo bigint, n bigint, first bigint, offset bigint")
-    # the pattern table's size depends on the limit alone: at most limit lengths, a few thousand intervals
-    each = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "n", "first", "offset"))).alias("_places"))
-    found = ranked(rows, sum(histogram.values()), bucket_rows).join(F.broadcast(each), "length")
+    places = defaultdict(list)
+    for length, *place in intervals(patterns(histogram, limit)):
+        places[length].append(tuple(place))
+    # this table's size depends on the limit alone: at most limit lengths, a few thousand places
+    kind = "length bigint, total bigint, places array<struct<lo:bigint,n:bigint,first:bigint,offset:bigint>>"
+    lengths = spark.createDataFrame([(k, n, sorted(places[k])) for k, n in sorted(histogram.items())], kind)
     place = F.element_at(F.filter("_places", lambda x: x["lo"] <= F.col("rank")), -1)
-    return found.withColumn("_p", place).select(*rows.columns, (F.col("_p.first") + F.col("rank") - F.col("_p.lo")).alias("sequence_id"), F.col("_p.offset").alias("offset"))
+    return ranked(rows, lengths, bucket_rows).withColumn("_p", place).select(*rows.columns, (F.col("_p.first") + F.col("rank") - F.col("_p.lo")).alias("sequence_id"), F.col("_p.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokens_path: str, ranks_path: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:

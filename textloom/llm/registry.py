@@ -59,7 +59,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
     listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))), "|")
-    return found.select("record_id", "url", "ts", "base_id", "status", listed.alias("headers"), F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256).alias("body_sha256"))
+    return found.select("record_id", "url", "ts", "base_id", "status", listed.alias("headers"), F.sha2(F.coalesce("body", F.lit("").cast("binary")), 256).alias("body_sha256"))
 
 
 UP, LOW = exact.UPPER, exact.LOWER
@@ -75,9 +75,9 @@ TAG = "'\"' || md5(coalesce(html, '')) || '\"'"
 ORACLE = {
     "op10_warc_revisits": f"""
         WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
-             h AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^(www|m)\\.', '') AS host,
+             h AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^www\\.', '') AS host,
                           regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])((utm_[a-z]*|ref)=[^&]*(&|$))+', '\\1'), '[?&]$', '') AS rest FROM u),
-             p AS (SELECT page_id, html, host || regexp_replace(rest, '(\\.html|/)$', '') AS key, {TAG} AS tag FROM h),
+             p AS (SELECT page_id, html, host || CASE WHEN rest = '/' THEN '' ELSE rest END AS key, {TAG} AS tag FROM h),
              r AS (SELECT key, page_id * 10 AS ts, page_id * 2 AS base_id, tag, html FROM p WHERE page_id % 13 <> 0),
              v AS (SELECT key, page_id * 10 + 5 AS ts, page_id * 2 + 1 AS record_id,
                           CASE WHEN page_id % 7 = 0 THEN '\"other\"' WHEN page_id % 11 = 0 THEN NULL ELSE tag END AS bare, page_id % 7 <> 0 AND page_id % 11 <> 0 AS weak FROM p),

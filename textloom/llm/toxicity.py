@@ -4,8 +4,8 @@ Terms are the distinct words of a text (runs of a-z, 0-9 and non-ASCII, A-Z lowe
 is the logistic of w0 + sum w_i + sum_{i<j} <v_i, v_j> over a text's terms: w is what a term says alone, the factors v
 what it says beside another (an insult next to a mention of a group), which additive weights cannot hold.
 
-The model is fitted on the driver from at most `train_rows` labelled documents, taken by lowest hash of doc_id among
-those whose crc32(doc_id) mod 5 is not 0; a term takes part if `min_docs` of them have it, at most `terms` of them by
+The model is fitted on the driver from at most `train_rows` rows of labelled documents, taken by lowest hash of doc_id
+among those whose crc32(doc_id) mod 5 is not 0 (rows that share a doc_id count each); a term takes part if `min_docs` of them have it, at most `terms` of them by
 chi-square. All documents are then scored whole, in one pass without a shuffle.
 
 Definitions: a null or empty text has no terms and gets the logistic of w0; a null doc_id counts as held out; a doc_id
@@ -89,7 +89,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, *, terms: int = 8192, min_do
     """A model of texts (distinct slots each) and their labels (0/1), by Adam with a proximal step for w."""
     index, share = np.full(1 << SLOT_BITS, -1, np.int32), float(toxic.mean()) if len(toxic) else 0.5
     bias = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0 if not len(toxic) else 500.0 * (2 * share - 1)
-    if not 0 < share < 1:
+    if not 0 < share < 1 or not len(toxic):
         return Model(index, bias, np.zeros(1), np.zeros((1, rank)))
     slots, owner, n = ragged(texts)
     seen = np.bincount(slots, minlength=len(index)).astype(float)
@@ -131,21 +131,24 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **options) -> Model:
     """A model from at most train_rows of the labelled documents that are not held out."""
-    one = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    # train_rows bounds this side of the join: 12 bytes a row
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    one = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
+    # train_rows bounds this side of the join: an id and a label a row
     taken = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
     def factory():
         slots = Slots()
 
         def step(b: pa.RecordBatch):
-            found = [np.unique(slots_of(t, slots)) for t in raw(b.column(2))]
-            yield batch(["doc_id", "toxic", "slots"], [b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))])
+            found = [np.unique(slots_of(t, slots)) for t in raw(b.column(3))]
+            yield batch(["doc_id", "toxic", "th", "slots"], [*(b.column(i) for i in range(3)), pa.array(found, pa.list_(pa.int32()))])
 
         return step
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "_toxic", "text")
-    rows = arrow_map(joined, "doc_id bigint, toxic int, slots array<int>", factory).toArrow().sort_by([("doc_id", "ascending")])
+    joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "_toxic", F.xxhash64("text"), "text")
+    every = arrow_map(joined, f"doc_id {kind}, toxic int, th bigint, slots array<int>", factory)
+    rows = every.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(train_rows).toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
     slots = rows.column("slots").combine_chunks()
     ends = slots.offsets.to_numpy()
     values = slots.values.to_numpy()
