@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import golden
 from .functions import fixed, phonetic, weighting
 from .functions import text as T
 from .operators import graph, keywords, normal, segment, sentences, sketch
@@ -219,6 +220,11 @@ def bm25_pruned(spark, sf_dir):
     return search.pruned_search(index(spark, sf_dir), asked(spark, sf_dir))
 
 
+@query(_SQL["bm25"])
+def bm25_blocks(spark, sf_dir):
+    return search.block_search(index(spark, sf_dir), asked(spark, sf_dir))
+
+
 @query(f"WITH {DF} SELECT term, round(greatest(max({FORMULAS['bm25']}), 0), 6) AS bound FROM p JOIN d USING (term), c GROUP BY term")
 def postings_upper_bounds(spark, sf_dir):
     return search.upper_bounds(index(spark, sf_dir)).select("term", F.round("bound", 6).alias("bound"))
@@ -318,15 +324,20 @@ def word_shingles(spark, sf_dir):
     return arrays(spark, sf_dir).where("dl > 0").select("doc_id", F.size(T.word_shingles(F.col("terms"))).cast("bigint").alias("n"))
 
 
-@query("WITH s AS (SELECT item_id, unnest(CASE WHEN length(text) < 5 THEN [text] ELSE list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5)) END) AS s FROM benchmark WHERE text <> '') SELECT item_id, count(DISTINCT s) AS n FROM s GROUP BY item_id")
+@query("WITH s AS (SELECT doc_id, unnest(CASE WHEN length(text) < 5 THEN [text] ELSE list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5)) END) AS s FROM documents WHERE text <> '') SELECT doc_id, count(DISTINCT s) AS n FROM s GROUP BY doc_id")
 def char_shingles(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.size(T.char_shingles(F.col("text"))).cast("bigint").alias("n"))
+    return docs(spark, sf_dir).where("text <> ''").select("doc_id", F.size(T.char_shingles(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query()
+#: Distinct 5-word shingles by document; a text of fewer words has one.
+SHINGLES = f"{A}, sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(terms) < 5 THEN [array_to_string(terms, ' ')] ELSE list_transform(range(1, len(terms) - 3), lambda i: array_to_string(terms[i : i + 4], ' ')) END) AS s FROM a WHERE len(terms) > 0), sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1)"
+ALIKE = "pr AS (SELECT x.doc_id AS query_id, y.doc_id, count(*) AS c FROM sh x JOIN sh y USING (s) WHERE x.doc_id % 20 = 0 GROUP BY 1, 2), al AS (SELECT query_id, pr.doc_id, c::DOUBLE / (x.n + y.n - c) AS similarity FROM pr JOIN sz x ON x.doc_id = query_id JOIN sz y ON y.doc_id = pr.doc_id WHERE c >= 0.8 * (x.n + y.n - c))"
+
+
+@query(f"WITH {SHINGLES}, {ALIKE}, cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY terms) AS class_id FROM a) SELECT DISTINCT query_id, class_id, round(similarity, 6) AS similarity FROM al JOIN cl USING (doc_id)")
 def minhash_similar(spark, sf_dir):
     rows = docs(spark, sf_dir)
-    return near.similar(rows, rows.where(F.col("doc_id") % 20 == 0)).withColumn("estimate", F.round("estimate", 6))
+    return near.similar(rows, rows.where(F.col("doc_id") % 20 == 0)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -343,14 +354,14 @@ def count_min_cells(spark, sf_dir):
     return rows.groupBy("r", F.expr("(h div (1 + r * 1000)) % 2719").alias("col")).agg(F.sum("c").alias("n"))
 
 
-@query(f"WITH {TOK}, s AS (SELECT DISTINCT doc_id, term FROM t), b AS (SELECT DISTINCT query_id, term FROM ({Q.split(' AS ', 1)[1]}) ), i AS (SELECT query_id, doc_id, count(*) AS c FROM b JOIN s USING (term) GROUP BY 1, 2), j AS (SELECT query_id, doc_id, c::DOUBLE / (x.n + y.n - c) AS score FROM i JOIN (SELECT query_id, count(*) AS n FROM b GROUP BY 1) x USING (query_id) JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY 1) y USING (doc_id)) {topk('j')}")
+@query(f"WITH {SHINGLES}, {ALIKE} SELECT query_id, doc_id, round(similarity, 6) AS similarity FROM al")
 def exact_jaccard(spark, sf_dir):
-    own = arrays(spark, sf_dir).withColumn("terms", F.array_distinct("terms"))
-    items = asked(spark, sf_dir).withColumn("terms", F.array_distinct("terms"))
-    left = items.select("query_id", F.size("terms").alias("x"), F.explode("terms").alias("term"))
-    right = own.select("doc_id", F.size("terms").alias("y"), F.explode("terms").alias("term"))
-    shared = left.join(right, "term").groupBy("query_id", "doc_id", "x", "y").agg(F.count("*").alias("c"))
-    return search.best(shared.select("query_id", "doc_id", (F.col("c") / (F.col("x") + F.col("y") - F.col("c"))).alias("score")), 10)
+    shingles = arrays(spark, sf_dir).where("dl > 0").select("doc_id", T.word_shingles(F.col("terms")).alias("sh"))
+    each = shingles.select("doc_id", F.size("sh").alias("n"), F.explode(F.transform("sh", lambda x: F.xxhash64(x))).alias("s"))
+    left = each.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), F.col("n").alias("m"), "s")
+    shared = left.join(each, "s").where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(0.8)).groupBy("query_id", "doc_id", "n", "m").agg(F.count("*").alias("c"))
+    union = F.col("n") + F.col("m") - F.col("c")
+    return shared.where(F.col("c") >= 0.8 * union).select("query_id", "doc_id", F.round(F.col("c") / union, 6).alias("similarity"))
 
 
 # Keywords, queries, discovery.
@@ -395,13 +406,16 @@ DISCOVER = f"""WITH {TOK}, g AS ({RUNS}), o AS (SELECT term, n, count(*) AS uses
     f AS (SELECT term, n, uses, coalesce(h_left, 0) AS h_left, coalesce(h_right, 0) AS h_right, log2(uses / total) - parts AS pmi FROM o JOIN pm USING (term) LEFT JOIN hl USING (term) LEFT JOIN hr USING (term), tot)"""
 
 
-@query(f"{DISCOVER} SELECT term, n::INT AS n, uses, round(h_left, 5) + 0 AS h_left, round(h_right, 5) + 0 AS h_right, round(pmi, 5) AS pmi FROM f WHERE uses >= 20")
+@query(f"{DISCOVER} SELECT term, n::INT AS n, uses, round(h_left, 5) + 0 AS h_left, round(h_right, 5) + 0 AS h_right, round(pmi, 5) AS pmi FROM f")
 def discover_candidates(spark, sf_dir):
-    found = discover.candidates(arrays(spark, sf_dir)).where("uses >= 20")
+    found = discover.candidates(arrays(spark, sf_dir))
     return found.select("term", "n", "uses", *((F.round(c, 5) + 0.0).alias(c) for c in ("h_left", "h_right", "pmi")))
 
 
-@query()
+@query(f"""{DISCOVER}, j AS (SELECT *, string_split(term, ' ') AS tk FROM f WHERE least(h_left, h_right) >= 1.5 - 1e-9 AND pmi >= 9 - 1e-9),
+    w AS (SELECT DISTINCT term, uses, array_to_string(tk[i : i + k - 1], ' ') AS part FROM (SELECT term, uses, tk, k, unnest(range(1, len(tk) - k + 2)) AS i FROM j, (SELECT unnest([2, 3]) AS k) WHERE len(tk) > k)),
+    ins AS (SELECT part, sum(uses) AS inside FROM w GROUP BY 1)
+    SELECT term, n::INT AS n, uses, round(h_left, 5) AS h_left, round(h_right, 5) AS h_right, round(pmi, 5) AS pmi FROM j LEFT JOIN ins ON term = part WHERE inside IS NULL OR uses - inside >= 0.33 * uses""")
 def discover_terms(spark, sf_dir):
     return discover.discover(arrays(spark, sf_dir)).select("term", "n", "uses", *(F.round(c, 5).alias(c) for c in ("h_left", "h_right", "pmi")))
 
@@ -446,7 +460,7 @@ def chunk_split(spark, sf_dir):
 def hashing_embed(spark, sf_dir):
     e = sketch.HashingEmbedder(128)
     embed = vectorized(lambda ts: e.embed(ts).tolist(), "array<float>")
-    return asked(spark, sf_dir).select("query_id", embed("terms").alias("vec"))
+    return arrays(spark, sf_dir).select("doc_id", embed("terms").alias("vec"))
 
 
 # Names.
@@ -481,8 +495,8 @@ FLAGSHIP = hybrid_rrf
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return golden.QUERIES | _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return golden.SQL | _SQL

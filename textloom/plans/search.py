@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import weighting
 from ..functions.weighting import Stats
 from . import corpus
+from .storage import materialize
 
 DIGITS = 6
 BLOCK = 128
@@ -96,27 +97,77 @@ def upper_bounds(index: Index, scheme: str = "bm25") -> DataFrame:
     return index.postings.join(index.terms, "term").groupBy("term").agg(F.greatest(F.max(weighting.SCHEMES[scheme](stats(index.totals))), F.lit(0.0)).alias("bound"))
 
 
+def numbered(postings: DataFrame, width: int = 100_000) -> DataFrame:
+    """postings with at, from 0 among those of their term by doc_id: numbered within ranges of doc_ids, each of which
+    starts where the ranges before it end, so no task holds all postings of a term."""
+    cut = postings.withColumn("_r", F.floor(F.col("doc_id") / width))
+    sizes = cut.groupBy("term", "_r").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("term").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("term", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("term", "_r").orderBy("doc_id")) - 1
+    return cut.withColumn("_own", own).join(first, ["term", "_r"]).withColumn("at", F.col("_first") + F.col("_own")).drop("_r", "_own", "_first")
+
+
 def block_bounds(index: Index, scheme: str = "bm25", block: int = BLOCK) -> DataFrame:
     """(term, block, bound, last_doc) for each run of `block` postings of a term by doc_id."""
-    at = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
-    cut = index.postings.join(index.terms, "term").withColumn("block", F.floor((at - 1) / block))
+    cut = numbered(index.postings).join(index.terms, "term").withColumn("block", F.floor(F.col("at") / block))
     return cut.groupBy("term", "block").agg(F.greatest(F.max(weighting.SCHEMES[scheme](stats(index.totals))), F.lit(0.0)).alias("bound"), F.max("doc_id").alias("last_doc"))
 
 
-def pruned_search(index: Index, queries: DataFrame, k: int = 10, scheme: str = "bm25") -> DataFrame:
-    """What search gives, for schemes that add nothing negative, with fewer documents scored in full.
+def part(index: Index, scheme: str) -> Column:
+    return F.col("weight") * weighting.SCHEMES[scheme](stats(index.totals))
 
-    The documents of each query's strongest term are scored by that term alone; the k-th of these scores is a floor for
-    the answer. Terms whose bounds together stay below the floor cannot lift a document over it alone, so only
-    documents with one of the other terms are candidates."""
-    function = weighting.SCHEMES[scheme]
-    found = matches(index, queries).withColumn("part", F.col("weight") * function(stats(index.totals)))
-    bounds = found.groupBy("query_id", "term").agg(F.max("part").alias("bound"))
-    order = Window.partitionBy("query_id").orderBy("bound", "term")
-    ranked = bounds.withColumn("below", F.sum("bound").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), F.desc("term"))))
-    strongest = found.join(ranked.where("nth = 1").select("query_id", "term"), ["query_id", "term"])
-    floor = strongest.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part"), "doc_id"))).where(F.col("at") == k).select("query_id", F.col("part").alias("floor"))
-    essential = ranked.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("below") * (1 + 1e-12) + 1e-6 >= F.col("floor"))).select("query_id", "term")
-    candidates = found.join(essential, ["query_id", "term"]).select("query_id", "doc_id").distinct()
-    full = found.join(candidates, ["query_id", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+
+def bounded_terms(index: Index, queries: DataFrame, scheme: str) -> DataFrame:
+    """(query_id, term, weight, df, cf, bound): what each query term can add at most."""
+    asked = query_terms(queries)
+    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    bounds = wanted.join(index.terms, "term").groupBy("term", "df", "cf").agg(F.greatest(F.max(weighting.SCHEMES[scheme](stats(index.totals))), F.lit(0.0)).alias("b"))
+    return materialize(asked.join(bounds, "term").select("query_id", "term", "weight", "df", "cf", (F.col("weight") * F.col("b")).alias("bound")), "bounds")
+
+
+def floors(index: Index, asked: DataFrame, k: int, scheme: str, leads: int = 3) -> DataFrame:
+    """(query_id, floor): a score that k documents of the query have, by scoring in full the k best of its `leads` strongest terms."""
+    strongest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    lead = asked.withColumn("_n", F.row_number().over(strongest)).where(F.col("_n") <= leads)
+    heads = index.postings.join(lead, "term").groupBy("query_id", "doc_id").agg(F.sum(part(index, scheme)).alias("score"))
+    heads = best(heads, k).select("query_id", "doc_id")
+    full = index.postings.join(heads.join(asked, "query_id"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part(index, scheme)).alias("score"))
+    return materialize(full.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("query_id", "floor"), "floors")
+
+
+def reaches(score: Column) -> Column:
+    """Whether a score reaches the floor, where there is one, with room for rounding."""
+    return F.col("floor").isNull() | (score * (1 + 1e-12) + 1e-6 >= F.col("floor"))
+
+
+def pruned_search(index: Index, queries: DataFrame, k: int = 10, scheme: str = "bm25") -> DataFrame:
+    """What search gives, for schemes that add nothing negative, without looking at all postings of common terms.
+
+    Terms whose bounds together stay below a query's floor cannot lift a document over it alone, so only documents
+    with one of the other, essential terms are candidates, and of these only those that reach the floor with all the
+    rest could add. The postings of the other terms are looked up for these few."""
+    asked = bounded_terms(index, queries, scheme)
+    below = F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = asked.withColumn("below", below).join(floors(index, asked, k, scheme), "query_id", "left").withColumn("essential", reaches(F.col("below")))
+    ranked = materialize(ranked, "ranked")
+    rest = ranked.groupBy("query_id", "floor").agg(F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    some = index.postings.join(ranked.where("essential").drop("floor"), "term").groupBy("query_id", "doc_id").agg(F.sum(part(index, scheme)).alias("some"))
+    found = materialize(some.join(rest, "query_id").where(reaches(F.col("some") + F.col("rest"))).select("query_id", "doc_id", "some"), "candidates")
+    lookup = found.select("query_id", "doc_id").join(ranked.where("not essential").drop("floor"), "query_id")
+    more = index.postings.join(lookup, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part(index, scheme)).alias("more"))
+    full = found.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("some") + F.coalesce("more", F.lit(0.0))).alias("score"))
     return best(full, k)
+
+
+def block_search(index: Index, queries: DataFrame, k: int = 10, scheme: str = "bm25", width: int = 128) -> DataFrame:
+    """What search gives, for schemes that add nothing negative, looking only into blocks of `width` doc_ids whose bounds
+    together reach the query's floor."""
+    asked = bounded_terms(index, queries, scheme)
+    postings = index.postings.withColumn("block", F.floor(F.col("doc_id") / width))
+    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi").join(index.terms, "term")
+    blocks = wanted.groupBy("term", "block").agg(F.greatest(F.max(weighting.SCHEMES[scheme](stats(index.totals))), F.lit(0.0)).alias("b"))
+    most = asked.select("query_id", "term", "weight").join(blocks, "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("b")).alias("most"))
+    alive = materialize(most.join(floors(index, asked, k, scheme), "query_id", "left").where(reaches(F.col("most"))).select("query_id", "block"), "blocks")
+    found = postings.join(asked.join(alive, "query_id"), ["term", "block"])
+    return best(found.groupBy("query_id", "doc_id").agg(F.sum(part(index, scheme)).alias("score")), k)
