@@ -71,7 +71,7 @@ CASES: dict[str, tuple[Callable[[], Callable[[Column], Column]], list[Case]]] =
     "udom83_codes": (lambda: phonetic.udom83, [("รถ", "ร800000"), ("รัก", "ร100000"), ("บูรณะ", "บ930000"), ("บูรณการ", "บ931900"), ("ปัจจุบัน", "ป775300"), ("", "")]),
     "lk82_codes": (lambda: vectorized(lk82, "string"), [("รถ", "ร3000"), ("รัก", "ร1000"), ("บูรณะ", "บE400"), ("บูรณการ", "บE419"), ("ปัจจุบัน", "ป3E54"), ("", "")]),
     "complete_soundex_codes": (lambda: vectorized(soundex.complete_soundex, "string"), [("ก", "กก7M-0-"), ("ขา", "คข1B-0-"), ("บาน", "บบ1Bน0-"), ("เกลือ", "กกBV-0ล"), ("สร้าง", "ซศ1Bง2ร"), ("สาว", "ซซ1Bว0-"), ("ลม", "รร1A-0-มม1A-0-"), ("เริ่ม", "รร2Cม1-"), ("หญ้า", "ฮห1B2น-"), ("ทำ", "ทท1Aม0-"), ("โลก", "รร7Nก0-"), ("แดง", "ดด6Lง0-"), ("", "")]),
-    "acronym_fold": (lambda: T.fold, [("HTTP", "HTTP"), ("Http", "http"), ("A", "A")]),
+    "acronym_fold": (lambda: T.fold, [("HTTP", "HTTP"), ("Http", "http"), ("A", "a"), ("POS", "POS"), ("Café", "café")]),
     "query_terms": (lambda: texts(PARSER.parse), [("it", "IT"), ("pc", "PC"), ("hr", "HR"), ("what is the it policy IT", "IT|policy"), ("", "")]),
     "query_expansion": (lambda: texts(PARSER.expand), [("xyz", "xyz|XYZ"), ("IT", "IT|ไอที|เทคโนโลยีสารสนเทศ"), ("ไอที", "ไอที|IT|เทคโนโลยีสารสนเทศ"), ("HR", "HR|เอชอาร์|ทรัพยากรบุคคล|ฝ่ายบุคคล")]),
     "rake_phrases": (lambda: texts(lambda t: [x for x, _ in keywords.rake(FRONT, t, 1)]), [("Deep learning models need data. Deep learning is fun, and GPU models help.", "Deep learning models need data")]),

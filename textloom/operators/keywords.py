@@ -243,7 +243,8 @@ class Parser:
         return terms
 
     def expand(self, term: str) -> list[str]:
-        upper = [term.upper()] if re.fullmatch("[A-Za-z0-9]+", term) and term.upper() != term and self.groups.forms(term) else []
+        """The term, the upper case of a Latin one, and the other forms of its group."""
+        upper = [term.upper()] if re.fullmatch("[A-Za-z0-9]+", term) else []
         return list(dict.fromkeys([term, *upper, *self.groups.forms(term)]))
 
     def parse_expand(self, query: str) -> list[str]:
