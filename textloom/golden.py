@@ -110,7 +110,7 @@ ASKED = ["เนี่ยลี่", "นี่หลี่", "สมชาย",
 def sound_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, aliases = (spark.createDataFrame(x, "entity_id string, name string") for x in (NAMES, ALIASES))
     asked = spark.createDataFrame([(x, x) for x in ASKED], "query_id string, name string")
-    found = near.sound_lookup(names, aliases, asked)
+    found = near.sound_lookup(names, aliases, asked, alias_score=1.0)
     return found.select("query_id", "entity_id", F.round("score", 4).cast("string").alias("score"))
 
 

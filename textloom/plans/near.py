@@ -98,10 +98,10 @@ def name_keys(names: DataFrame) -> DataFrame:
     return names.where(F.char_length("name") <= P.MOST_CHARS).select("*", F.explode(P.keys(F.col("name"), code("name"))).alias("key"))
 
 
-def sound_lookup(names: DataFrame, aliases: DataFrame, queries: DataFrame, least: float = 0.0, alias_score: float = 1.0) -> DataFrame:
+def sound_lookup(names: DataFrame, aliases: DataFrame, queries: DataFrame, least: float = 0.0, alias_score: float = 2.0) -> DataFrame:
     """(query_id, entity_id, score): names (entity_id, name) that share a key with a query (query_id, name), by similarity.
 
-    An exact alias (entity_id, name) scores like an equal name. The largest score of an entity counts."""
+    An exact alias (entity_id, name) scores above them all, so it ranks first; with alias_score 1 it scores like an equal name. The largest score of an entity counts."""
     hits = name_keys(queries.withColumnRenamed("name", "name")).withColumnRenamed("name", "asked").join(name_keys(names), "key")
     by_sound = hits.select("query_id", "entity_id", P.similarity(F.col("asked"), F.col("name")).alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
     by_alias = queries.join(aliases, "name").select("query_id", "entity_id", F.lit(alias_score).alias("score"))
