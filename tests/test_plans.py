@@ -134,6 +134,41 @@ def test_graph_recall(spark):
     assert len(found & exact) >= 0.95 * len(exact)
 
 
+@pytest.mark.parametrize("codes", ["binary_sym", "scalar8_sym"])
+def test_graph_over_codes(spark, codes):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 30))
+    x[3] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    queries = rows.where("vec_id % 20 = 0")
+    exact = {(r.query_id, r.vec_id): r.score for r in dense.search(rows, queries, 40, codes).collect()}
+    found = {(r.query_id, r.vec_id): r.score for r in graph.search(rows, queries, 10, shards=2, codes=codes).collect()}
+    best = {q: sorted((s for (p, _), s in exact.items() if p == q), reverse=True)[9] for q in range(0, 500, 20)}
+    assert sum(s >= best[q] - 1e-5 for (q, _), s in found.items()) >= 0.9 * len(found) and len(found) == 250
+    assert all(abs(s - exact[p]) < 1e-5 for p, s in found.items() if p in exact)
+
+
+def test_held_out(spark):
+    rows = spark.createDataFrame([(i * 7 % 100, "x") for i in range(100)], "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id for r in corpus.held_out(rows, "doc_id", 0.3).collect() if r.held} == set(range(0, 100, 3))
+    assert corpus.held_out(rows.where("doc_id < 0"), "doc_id").count() == 0
+
+
+def test_line_pipe(spark, tmp_path):
+    import io
+
+    from textloom import __main__ as pipe
+
+    (tmp_path / "w.txt").write_text("ผม\nไป\t3\n")
+    (tmp_path / "in.txt").write_text("ผมไปโรงเรียน ab\n\n")
+    out = io.StringIO()
+    pipe.main(["--dict", str(tmp_path / "w.txt"), "--overlay", "โรงเรียน"], io.StringIO("ผมไปโรงเรียน ab\n\n"), out)
+    assert out.getvalue() == "ผม ไป โรงเรียน ab\n\n"
+    words = pipe.dictionary(str(tmp_path / "w.txt"), "โรงเรียน")
+    pipe.job(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), words)
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["ผม ไป โรงเรียน ab", ""]
+
+
 def test_sql_functions(spark):
     names = register.register(spark)
     assert "text_terms" in names

@@ -185,6 +185,11 @@ def vocab_ids(spark, sf_dir):
     return corpus.vocabulary(arrays(spark, sf_dir))
 
 
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 10 = 0 AS held FROM documents")
+def document_split(spark, sf_dir):
+    return corpus.held_out(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 # Sparse retrieval.
 
 
@@ -250,6 +255,21 @@ COS = "cs AS (SELECT query_id, vec_id, list_cosine_similarity(q, e) AS score FRO
 HAM = f"hs AS (SELECT query_id, vec_id, list_inner_product({SIGNS.format('q')}, {SIGNS.format('e')}) / len(q) AS score FROM vq, v)"
 
 
+SIGNED8 = "s8 AS (SELECT vec_id, greatest(list_max(e), -list_min(e)) / 127 AS st, list_transform(e, lambda x: round(x / (greatest(list_max(e), -list_min(e)) / 127))) AS e FROM u), s8q AS (SELECT vec_id AS query_id, st AS qt, e AS q FROM s8 WHERE vec_id % 20 = 0)"
+SYM8 = "ss AS (SELECT query_id, vec_id, list_inner_product(q, e) * qt * st AS score FROM s8q, s8)"
+SYM = f"sy AS (SELECT query_id, vec_id, list_inner_product({SIGNS.format('q').replace('>', '>=')}, {SIGNS.format('e').replace('>', '>=')}) AS score FROM vq, v)"
+
+
+@query(f"WITH {VEC}, {SYM} {topk('sy', item='vec_id')}")
+def binary_sym_topk(spark, sf_dir):
+    return dense.search(*vectors(spark, sf_dir), scorer="binary_sym")
+
+
+@query(f"WITH {VEC}, {UNIT}, {SIGNED8}, {SYM8} {topk('ss', item='vec_id')}")
+def scalar8_sym_topk(spark, sf_dir):
+    return dense.search(*vectors(spark, sf_dir), scorer="scalar8_sym")
+
+
 @query(f"WITH {VEC}, {COS} {topk('cs', item='vec_id')}")
 def cosine_topk(spark, sf_dir):
     return dense.search(*vectors(spark, sf_dir))
@@ -282,6 +302,11 @@ def hnsw_topk(spark, sf_dir):
     return graph.search(*vectors(spark, sf_dir))
 
 
+@query()
+def hnsw_scalar8_topk(spark, sf_dir):
+    return graph.search(*vectors(spark, sf_dir), codes="scalar8_sym")
+
+
 # Fusion: benchmark items as text queries, the vectors of the same ids as dense ones.
 
 HYBRID = f"""WITH {M}, {VEC}, s AS (SELECT query_id, doc_id, sum(weight * ({FORMULAS['bm25']})) AS score FROM m GROUP BY 1, 2),

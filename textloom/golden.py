@@ -79,6 +79,7 @@ CASES: dict[str, tuple[Callable[[], Callable[[Column], Column]], list[Case]]] =
     "char_sentences": (lambda: texts(char_model().split), [("ab ef. cd fa.", "ab ef.|cd fa."), ("", "")]),
     "crf_sentences": (lambda: texts(lambda t: crf_model().labels(t.split())), [("a end b c end", "I|E|I|I|E"), ("c c end", "I|I|E")]),
     "whitespace_labels": (lambda: texts(lambda t: sentences.whitespace_labels(list(t))), [("a b", "E|I|E")]),
+    "silver_labels": (lambda: texts(lambda t: sentences.silver_labels(t.split("/"))), [("a/./ /b/“c/d/”/e", "I|E|I|E|I|I|E|E"), ("x/ ", "E|I"), ("他/说/。/「/好/」/ ", "I|I|E|I|I|E|I"), (" / ", "I|I")]),
     "pronounceable_terms": (lambda: lambda c: vectorized(discover.pronounceable, "boolean")(c).cast("string"), [("กมล", "false"), ("กา", "true"), ("ก็อบลิน", "true"), ("ๆ", "false"), ("ช้าๆ", "false"), ("abc", "false"), ("", "false")]),
     "static_vectors": (lambda: texts(lambda t: [f"{x:.4f}" for x in sketch.StaticEmbedder({"a": [1.0, 0.0], "b": [0.0, 1.0]}).embed(t.split()).tolist()]), [("a", "1.0000|0.0000"), ("a b", "0.7071|0.7071"), ("z", "0.0000|0.0000")]),
 }

@@ -14,22 +14,63 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.dense import signed8
 from ..plans.search import best
 
 SHARD_ROWS = 20_000
 
 
+class Exact:
+    """Vectors as they are; similarity is the dot product."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return x
+
+    def similar(self, one: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return codes @ one
+
+
+class Signs(Exact):
+    """A bit for each dimension, 32 times smaller; similarity is dim less twice the differing bits."""
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.packbits(x >= 0, axis=1, bitorder="little")
+
+    def similar(self, one: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.dim - 2 * np.bitwise_count(codes ^ one).sum(1, dtype=np.int64)
+
+
+class Bytes(Exact):
+    """A float32 step and a signed byte for each dimension, 4 times smaller; similarity is the scaled product of codes."""
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        codes, step = signed8(x)
+        return np.concatenate([step.astype("<f4").view(np.uint8), codes.astype(np.int8).view(np.uint8)], axis=1)
+
+    def similar(self, one: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        steps = np.ascontiguousarray(codes[:, :4]).view("<f4")[:, 0]
+        product = codes[:, 4:].view(np.int8).astype(np.float32) @ one[4:].view(np.int8).astype(np.float32)
+        return steps * one[:4].view("<f4")[0] * product
+
+
+CODECS = {"exact": Exact, "binary_sym": Signs, "scalar8_sym": Bytes}
+
+
 class Hnsw:
-    """A graph over unit vectors; similarity is the dot product."""
+    """A graph over unit vectors or over codes of them, which then also stand for the queries."""
 
-    def __init__(self, dim: int, links: int = 16, ef_build: int = 100, ef_search: int = 64, seed: int = 1):
+    def __init__(self, dim: int, links: int = 16, ef_build: int = 200, ef_search: int = 64, seed: int = 1, codes: str = "exact"):
         self.links, self.ef_build, self.ef_search, self.rng = links, ef_build, ef_search, random.Random(seed)
+        self.codec = CODECS[codes](dim)
         self.x = np.zeros((0, dim), np.float32)
         self.layers: list[dict[int, list[int]]] = []
         self.entry = -1
 
     def similar(self, q: np.ndarray, ids: list[int]) -> np.ndarray:
-        return self.x[ids] @ q
+        return self.codec.similar(q, self.x[ids])
 
     def beam(self, q: np.ndarray, start: list[int], layer: int, width: int) -> list[tuple[float, int]]:
         """The best nodes found on a layer, most similar first."""
@@ -67,7 +108,7 @@ class Hnsw:
 
     def build(self, x: np.ndarray) -> Hnsw:
         size = np.linalg.norm(x, axis=1, keepdims=True)
-        self.x = np.divide(x, size, out=np.zeros_like(x), where=size > 0).astype(np.float32)
+        self.x = self.codec.encode(np.divide(x, size, out=np.zeros_like(x), where=size > 0).astype(np.float32))
         for i in range(len(self.x)):
             self.add(i)
         return self
@@ -97,14 +138,14 @@ class Hnsw:
         if self.entry < 0:
             return []
         size = float(np.linalg.norm(q))
-        q = (q / size if size else q).astype(np.float32)
+        q = self.codec.encode((q / size if size else q).astype(np.float32)[None])[0]
         start = [self.entry]
         for layer in range(len(self.layers) - 1, 0, -1):
             start = [self.beam(q, start, layer, 1)[0][1]]
         return self.beam(q, start, 0, max(self.ef_search, k))[:k]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, shards: int | None = None, id_: str = "vec_id", vector: str = "embedding", **options: int) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, shards: int | None = None, id_: str = "vec_id", vector: str = "embedding", **options: int | str) -> DataFrame:
     """(query_id, id_, score, rank) of the best rows found in the shards' graphs.
 
     Queries are sent to each shard beside its rows; they are a set of bounded size, and a larger one is searched in parts."""

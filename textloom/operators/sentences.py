@@ -288,6 +288,23 @@ def whitespace_labels(tokens: Sequence[str]) -> list[str]:
     return ["E" if i + 1 == len(tokens) or not tokens[i + 1].strip() else "I" for i in range(len(tokens))]
 
 
+# Ends of tokens that close a sentence, beginnings of tokens that open a turn of speech.
+CLOSING = ("”", '"', "»", "」", "』", "’", ".", "!", "?", "…", "。", "！", "？")
+OPENING = ("“", "«", "「", "『", "„")
+
+
+def silver_labels(tokens: Sequence[str]) -> list[str]:
+    """Weak labels from punctuation: a token ends a sentence if it closes one, if the next opens a turn, or if it is the last.
+
+    Blank tokens never end one; what counts as the next token is the next that is not blank."""
+    words = [(i, t.strip()) for i, t in enumerate(tokens) if t.strip()]
+    labels = ["I"] * len(tokens)
+    for (i, word), (_, after) in zip(words, [*words[1:], (None, None)], strict=False):
+        if after is None or word.endswith(CLOSING) or after.startswith(OPENING):
+            labels[i] = "E"
+    return labels
+
+
 # Chunks.
 
 _MARK = re.compile(r"[ัิ-ฺ็-๎]")

@@ -75,6 +75,13 @@ def numbered(rows: DataFrame, by: str, name: str = "id") -> DataFrame:
     return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_first") + F.col("_own")).drop("_part", "_own", "_first")
 
 
+def held_out(rows: DataFrame, by: str, share: float = 0.1) -> DataFrame:
+    """rows with `held`, true for the first and every further (1 / share)-th in the order of `by`: whole documents, so
+    that none is on both sides of the split."""
+    stride = max(2, int(1 / share))
+    return numbered(rows, by, "_at").withColumn("held", F.col("_at") % stride == 0).drop("_at")
+
+
 def extend_vocabulary(old: DataFrame, arrays: DataFrame) -> DataFrame:
     """old (term, id, df) with what arrays bring: known terms keep their ids, new ones follow the largest."""
     top = old.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]

@@ -77,7 +77,31 @@ def scalar8_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.sum(1, keepdims=True) * low.T + (q @ codes.T) * step.T
 
 
-SCORERS: dict[str, Scorer] = {"cosine": cosine_scores, "binary": binary_scores, "scalar8": scalar8_scores}
+def signs(x: np.ndarray) -> np.ndarray:
+    return np.where(x >= 0, 1.0, -1.0)
+
+
+def binary_sym_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """dim - 2 h for Hamming distance h of codes on both sides; a zero counts as positive."""
+    return signs(q) @ signs(x).T
+
+
+def signed8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes -127..127 of vectors by each one's largest absolute value, halves away from zero, and the step of each."""
+    step = np.abs(x).max(1, keepdims=True) / 127
+    step = np.where(step == 0, 1.0, step)
+    return np.clip(np.sign(x) * np.floor(np.abs(x) / step + 0.5), -127, 127), step
+
+
+def scalar8_sym_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The product of signed 8-bit codes, scaled by the steps of both."""
+    (a, s), (b, t) = signed8(unit(q)), signed8(unit(x))
+    return (a @ b.T) * s * t.T
+
+
+SCORERS: dict[str, Scorer] = {
+    "cosine": cosine_scores, "binary": binary_scores, "scalar8": scalar8_scores, "binary_sym": binary_sym_scores, "scalar8_sym": scalar8_sym_scores,
+}
 
 
 def packed(rows: DataFrame, id_: str, vector: str, prefix: str, block: int = ROWS) -> DataFrame:
