@@ -5,8 +5,9 @@ comes to the driver, where lengths are placed longest first, each into the short
 space; patterns carry counts, so the work there depends on the limit alone. Pieces then get a rank among those of
 their length and find the pattern, the sequence and the offset of that rank by a join with the patterns' intervals.
 
-Ranks are counted in two steps, so that no task holds all pieces of a length: pieces are dealt over hash buckets of
-bounded size, numbered there, and each bucket's first rank is the sum of the buckets before it.
+Ranks are counted in two steps, so that no task holds all pieces of a length: the n pieces of a length are dealt over
+about sqrt(n) hash buckets, numbered there, and each bucket's first rank is the sum of the buckets before it. So a
+length has as many buckets as a bucket has pieces, and both steps grow with the root of the input.
 
 Definitions: a null or empty text is one piece, the end id alone; a repeated row is packed as a row of its own; null
 doc_ids are kept. An empty table gives an empty result, further columns are ignored.
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch, materialize, strings
 
 LIMIT, END_ID = 1024, 0
-#: Pieces of one length in a bucket, about.
-BUCKET_ROWS = 1000
 #: Code points that the fast path knows by class; texts with others go to the tokenizer whole.
 KNOWN = 0x250
 CACHE = 1 << 18
@@ -144,13 +143,15 @@ def intervals(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def ranked(rows: DataFrame, lengths: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def ranked(rows: DataFrame, lengths: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     """rows with rank, from 0 among those of their length, and the places that ranks of its bucket can have.
 
     lengths (length, total, places) is a row for each length: a length's rows are dealt to as many buckets as its own
-    number asks for, numbered within them, and a bucket starts where those before it end."""
+    number asks for (bucket_rows: rows of one, about; by default the root of the number), numbered within them, and a
+    bucket starts where those before it end."""
+    buckets = F.ceil(F.col("total") / bucket_rows if bucket_rows else F.sqrt("total"))
     dealt = rows.join(F.broadcast(lengths.select("length", "total")), "length")
-    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.ceil(F.col("total") / bucket_rows)).cast("int")).drop("total")
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), buckets).cast("int")).drop("total")
     sizes = dealt.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a bucket takes over the few places that its ranks meet, so that no row looks through all places of its length
@@ -161,7 +162,7 @@ def ranked(rows: DataFrame, lengths: DataFrame, bucket_rows: int = BUCKET_ROWS)
     return numbered.withColumn("rank", F.col("_first") + F.col("_own")).drop("_b", "_own", "_first")
 
 
-def pack(rows: DataFrame, limit: int = LIMIT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(rows: DataFrame, limit: int = LIMIT, bucket_rows: int | None = None) -> DataFrame:
     """rows (with length, doc_id, start, ids_crc32, doc_tokens) with sequence_id and offset."""
     spark = rows.sparkSession
     histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
