@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +40,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE) -> Dat
     """(node, hashes): the ascending 64-bit hashes of the shingles of the given nodes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash  # here, so that the other queries stay where it is missing
+
         for b in batches:
             sets = [np.unique(np.array([xxhash.xxh64_intdigest(s) for s in sketch.word_shingles(tokens, words)], np.uint64)).tobytes() for tokens in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
