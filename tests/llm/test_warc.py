@@ -1,9 +1,12 @@
+import glob
 import gzip
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from textloom.llm import warc
+from textloom.llm.common import scratch
 
 from .conftest import same
 
@@ -67,6 +70,18 @@ def test_long_bodies_and_clashing_columns(spark):
     assert [(r.base_id, r.status, bytes(r.body) == body) for r in got] == [(1, "resolved", True)] * 2
 
 
+def test_bodies_are_written_with_the_denser_codec(spark):
+    rng = random.Random(4)
+    page = lambda: "<p>" + " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(4000))
+    rows = [(2 * i + k, f"http://a.de/{i}", k, ("response", "revisit")[k], {}, None if k else page().encode()) for i in range(40) for k in (0, 1)]
+    with scratch(spark):
+        got = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).collect()
+        base = max(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/bases-*"), key=os.path.getmtime)
+        names = glob.glob(f"{base}/*.parquet")
+    assert {(r.record_id - 1, bytes(r.body)) for r in got} == {(r[0], r[5]) for r in rows if r[5]}
+    assert names and all(n.endswith(".zstd.parquet") for n in names)
+
+
 def records(spark):
     rows = [
         (1, "http://a.de/x", 10, "response", {"ETag": '"1"', "Content-Type": "text/html", "Date": "d1"}, b"one"),

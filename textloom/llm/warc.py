@@ -127,7 +127,7 @@ def resolve_revisits(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFr
     placed = revisits.join(found, on, "left").select(revisits["record_id"], "url", revisits["ts"], "told", "base_id")
     wanted = found.select("base_id").distinct()
     base = own.where(F.col("kind") == "response").join(wanted, F.col("record_id") == wanted["base_id"], "left_semi").groupBy("record_id").agg(F.min(F.struct("body", F.map_entries("headers").alias("h"))).alias("r")).select(F.col("record_id").alias("base_id"), F.map_from_entries("r.h").alias("had"), F.col("r.body").alias("body"))
-    base = materialize(base, "bases")  # the join's sides are then two exchanges, between which Spark splits a base with many revisits
+    base = materialize(base, "bases", "zstd")  # the join's sides are then two exchanges, between which Spark splits a base with many revisits
     joined = placed.join(base, "base_id", "left")
     same = [(told.isNotNull() & had.isNotNull(), told == had) for told, had in ((weak(F.col("told")["etag"]), weak(F.col("had")["etag"])), (F.col("told")["last-modified"], F.col("had")["last-modified"]))]
     differs = F.lit(False)
