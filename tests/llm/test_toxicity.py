@@ -81,3 +81,14 @@ def test_drop_keeps_columns(spark):
     left = {r.doc_id for r in kept.collect()}
     toxic = {i for i, y in labels if y}
     assert len(left & toxic) <= 0.05 * len(toxic) and len(left - toxic) >= 0.97 * (len(labels) - len(toxic))
+
+
+def test_a_kept_text_is_sent_once(spark, monkeypatch):
+    docs, labels = corpus(300)
+    frame, lab = frames(spark, docs, labels)
+    sent, plain = [], toxicity.arrow_map
+    monkeypatch.setattr(toxicity, "arrow_map", lambda df, *rest: sent.append(df.columns) or plain(df, *rest))
+    kept = toxicity.drop_toxic(frame, lab)
+    assert sent[-1] == frame.columns
+    clean = {r.doc_id for r in toxicity.score_documents(frame, lab).collect() if not r.predicted}
+    assert {tuple(r) for r in kept.collect()} == {r for r in docs if r[0] in clean}

@@ -159,6 +159,9 @@ def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score")
     """The columns keep of docs and the score of each text."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.index >= 0), model.w0, model.w, model.v))
+    # a text that is kept goes to Python once
+    sent = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(free_name(docs, "_text")))
+    place = keep.index("text") if "text" in keep else len(keep)
 
     def factory():
         at, w0, w, v = shared.value
@@ -167,14 +170,13 @@ def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score")
         own, slots = Model(index, w0, w, v), Slots()
 
         def step(b: pa.RecordBatch):
-            score = own.score([own.terms(slots_of(t, slots)) for t in raw(b.column(len(keep)))])
+            score = own.score([own.terms(slots_of(t, slots)) for t in raw(b.column(place))])
             yield batch([*keep, name], [*(b.column(i) for i in range(len(keep))), pa.array(score)])
 
         return step
 
-    text = free_name(docs, "_text")
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), f"`{name}` double"])
-    return arrow_map(docs.select(*keep, F.col("text").alias(text)), schema, factory)
+    return arrow_map(sent, schema, factory)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
