@@ -1,14 +1,20 @@
 """Work and memory that must not grow faster than the input."""
 
 import random
+import re
 import time
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.functions import weighting
 from textloom.operators import arrow, segment
+from textloom.plans import corpus, discover, search
 
 
-def test_results_leave_a_worker_part_by_part():
+def test_results_leave_a_worker_part_by_part(spark):
     texts = pd.Series(["x" * arrow.PART, None, "y", "z" * arrow.PART, "", "w"])
     out = list(arrow.vectorized(lambda t: len(t), "bigint").func(iter([texts, texts.iloc[:0]])))
     assert [len(x) for x in out] == [1, 3, 2]
@@ -34,3 +40,49 @@ def test_clusters_of_text_without_thai_stand_alone():
             at = found.end() if found and found.end() > at else at + 1
             want[at] = True
         assert segment.clusters(text) == want
+
+
+def test_search_makes_no_rows_of_query_and_document(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(400, None)]
+    index = search.build(corpus.token_arrays(spark.createDataFrame(rows, "doc_id bigint, text string")), "postings")
+    asked = spark.createDataFrame([(f"q{q}", rng.choices("abcdefghij", k=5) + ["zz", "a"]) for q in range(9)] + [(None, ["b"]), ("none", ["nowhere"])], "query_id string, terms array<string>")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    for scheme in weighting.SCHEMES:
+        found = search.search(index, asked, 7, scheme)
+        assert not re.search(r"hashpartitioning\(query_id#\d+, doc_id", found._jdf.queryExecution().toString())
+        assert plain(found) == plain(search.best(search.scores(index, asked, scheme), 7))
+    for cells in (1, 40):  # blocks of one document and of few
+        scoring = search.CELLS
+        search.CELLS = cells
+        try:
+            assert plain(search.block_search(index, asked, 4, width=3)) == plain(search.pruned_search(index, asked, 4)) == plain(search.best(search.scores(index, asked), 4))
+        finally:
+            search.CELLS = scoring
+    assert search.search(index, asked.where("query_id = 'none'")).collect() == []
+
+
+def test_runs_are_found_in_parts(spark):
+    lists = pa.array([["a"] * 3, [], ["b"] * 5, ["c"], ["d"]])
+    batch = pa.RecordBatch.from_arrays([lists, pa.array(range(5))], names=["t", "i"])
+    assert [b.column(1).to_pylist() for b in discover.parts(iter([batch, batch.slice(2)]), 4)] == [[0, 1], [2], [3, 4], [2], [3, 4]]
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, [rng.choice("abc") for _ in range(rng.randint(0, 9))]) for i in range(200)], "doc_id int, terms array<string>")
+    rules = discover.Rules(least_count=2)
+    whole = sorted(map(repr, discover.candidates(docs, rules).collect()))
+    part, discover.PART = discover.PART, 5
+    try:
+        assert sorted(map(repr, discover.candidates(docs, rules).collect())) == whole
+    finally:
+        discover.PART = part
+
+
+def test_windows_of_a_long_text(spark):
+    texts = ["", "a", "😀bcde", "😀bcdéf😀bcdé", "x\ny z" * 60_000, None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    began = time.monotonic()
+    found = [r[0] for r in frame.select(T.char_shingles(F.col("t"))).collect()]
+    assert time.monotonic() - began < 30
+    for got, t in zip(found, texts, strict=True):
+        assert got == (None if t is None else [] if not t else list(dict.fromkeys([t[i : i + 5] for i in range(len(t) - 4)] or [t])))
+    assert frame.where("length(t) < 20").select(T.char_ngrams(F.col("t"))).collect()[3][0] == ["😀bc", "bcd", "cdé", "déf", "éf😀", "f😀b", "😀bc", "bcd", "cdé"]
