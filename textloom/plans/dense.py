@@ -1,8 +1,8 @@
 """Dense retrieval: vector codes, exact search of a query set in blocks, rescoring, product quantization.
 
-A search packs the rows of a partition into blocks of vectors and the queries into blocks likewise; each pair of
-blocks is one matrix product that keeps the best k of each query. Blocks, not rows, meet, so the work is spread over
-as many tasks as there are pairs of blocks and neither side has to fit in one place."""
+All tasks have the queries; each scores its rows block by block, a matrix product each, and keeps the best k of each
+query. Queries of more than BROADCAST_BYTES are packed into blocks, and so are the rows; each pair of blocks is then one
+product, and neither side has to fit in one place."""
 
 from __future__ import annotations
 
@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .search import DIGITS, best
+from .storage import spread
 
 ROWS = 4096
+#: Rows and queries that a task scores at once, scores that it holds beyond the best k, and bytes of queries that are sent to
+#: all tasks; more queries meet the rows as pairs of blocks.
+BLOCK, QUERIES, HELD, BROADCAST_BYTES = 2048, 256, 1 << 20, 128 << 20
 #: Scores of queries (m, d) against rows (n, d): an (m, n) matrix.
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -123,23 +127,78 @@ def packed(rows: DataFrame, id_: str, vector: str, prefix: str, block: int = ROW
     return rows.select(F.col(id_).cast("bigint"), vector).mapInArrow(run, f"{names[0]} array<bigint>, {names[1]} binary")
 
 
+def matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+class Best:
+    """The k best ids of each of n queries, from scores that come block by block."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.floor = n, k, np.full(n, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores of queries first, first + 1 and so on with ids."""
+        q, i = np.nonzero(scores >= self.floor[first : first + len(scores), None])
+        if len(q):
+            self.held.append((first + q, ids[i], scores[q, i]))
+            if sum(len(x[0]) for x in self.held) > 4 * self.k * self.n + HELD:
+                self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, ids, scores = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -scores, q))
+        first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        kth = order[rank == self.k - 1]
+        self.floor[q[kth]] = scores[kth]
+        order = order[rank < self.k]
+        self.held = [(q[order], ids[order], scores[order])]
+        return self.held[0]
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, scorer: str | Scorer = "cosine", id_: str = "vec_id", vector: str = "embedding", digits: int = DIGITS) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best rows for each query; both have (id_, vector)."""
     function = SCORERS[scorer] if isinstance(scorer, str) else scorer
+    kept = lambda df: df.select(F.col(id_).cast("bigint").alias(id_), vector).where(F.size(vector) > 0)
+    asked, schema = kept(queries), f"query_id bigint, {id_} bigint, score double"
+    if (size := asked.agg(F.sum(F.size(vector).cast("bigint") * 8)).first()[0] or 0) > BROADCAST_BYTES:
+        pairs = packed(rows, id_, vector, "row").crossJoin(packed(queries, id_, vector, "query", block=QUERIES))
+        return best(pairs.mapInArrow(_pairs(function, k, id_, digits), schema), k, item=id_, digits=digits)
+    table = asked.toArrow().combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast((np.array(table.column(0).to_pylist(), np.int64), matrix(table.column(1).combine_chunks())) if size else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, x, qids, q in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                x, q = np.frombuffer(x).reshape(len(ids), -1), np.frombuffer(q).reshape(len(qids), -1)
-                ids, qids = np.array(ids), np.array(qids)
-                order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], x[order]
-                scores = np.round(function(q, x), digits) + 0.0
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["query_id", id_, "score"])
-
-    pairs = packed(rows, id_, vector, "row").crossJoin(packed(queries, id_, vector, "query", block=512))
-    return best(pairs.mapInArrow(run, f"query_id bigint, {id_} bigint, score double"), k, item=id_, digits=digits)
+        if shared.value is None:
+            return
+        qids, q = shared.value
+        found = Best(len(qids), k)
+        for b in (whole.slice(at, BLOCK) for whole in batches for at in range(0, whole.num_rows, BLOCK)):
+            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
+            for at in range(0, len(q), QUERIES):
+                found.add(at, ids, np.round(function(q[at : at + QUERIES], x), digits) + 0.0)
+        n, ids, scores = found.best()
+        yield pa.RecordBatch.from_arrays([pa.array(qids[n]), pa.array(ids), pa.array(scores)], names=["query_id", id_, "score"])
+
+    return best(spread(kept(rows), id_).mapInArrow(run, schema), k, item=id_, digits=digits)
+
+
+def _pairs(function: Scorer, k: int, id_: str, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores pairs of blocks, see packed, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 1) for whole in batches for at in range(whole.num_rows)):
+            ids, x, qids, q = (b.column(i).to_pylist()[0] for i in range(4))
+            x, q = np.frombuffer(x).reshape(len(ids), -1), np.frombuffer(q).reshape(len(qids), -1)
+            found = Best(len(qids), k)
+            found.add(0, np.array(ids), np.round(function(q, x), digits) + 0.0)
+            n, own, scores = found.best()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(qids)[n]), pa.array(own), pa.array(scores)], names=["query_id", id_, "score"])
+
+    return run
 
 
 def rescore(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
